@@ -4,23 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-SCHEMAS: dict[str, T.StructType] = {
-    "meta": _struct("key string, value string"),
-    "repository": _struct("owner string, name string, revision string, commit_date timestamp_ntz, license string"),
-    "source_file": _struct("hash string, source binary"),
-    "repository_source": _struct("owner string, name string, hash string, path string"),
-    "source_summary": _struct("hash string, sloc int, n_tokens int"),
-    "failure": _struct("hash string, reason string"),
-    "partition_set": _struct("partition int, set_name string"),
-    "license_item": _struct("license_id string, title string"),
-    "benchmark": _struct("item_id bigint, text string, suite string, set_name string"),
+#: Columns of the corpus tables, as DDL.
+SCHEMAS: dict[str, str] = {
+    "meta": "key string, value string",
+    "repository": "owner string, name string, revision string, commit_date timestamp_ntz, license string",
+    "source_file": "hash string, source binary",
+    "repository_source": "owner string, name string, hash string, path string",
+    "source_summary": "hash string, sloc int, n_tokens int",
+    "failure": "hash string, reason string",
+    "partition_set": "partition int, set_name string",
+    "license_item": "license_id string, title string",
+    "benchmark": "item_id bigint, text string, suite string, set_name string",
 }
 
 
