@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_splits"]
+MODULES = ["q_splits", "q_neardup"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
