@@ -58,6 +58,6 @@ def repository_totals(repository_source: DataFrame, source_summary: DataFrame) -
 
 
 def heavy_repositories(totals: DataFrame, share: float | Column = 0.02) -> DataFrame:
-    """Repositories that hold at least ``share`` of all mappings."""
+    """Repositories that hold at least ``share`` of all mappings, with their totals."""
     everything = totals.agg(F.sum("n_mappings")).scalar()
-    return totals.where(F.col("n_mappings") >= share * everything)
+    return totals.where((F.col("n_mappings") >= share * everything) & (F.col("n_tokens") >= 0))
