@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_splits", "q_neardup", "q_syntax"]
+MODULES = ["q_splits", "q_neardup", "q_syntax", "q_texts"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
