@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_splits", "q_neardup", "q_syntax", "q_texts", "q_truncation"]
+MODULES = ["q_splits", "q_neardup", "q_syntax", "q_texts", "q_truncation", "q_licenses"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
