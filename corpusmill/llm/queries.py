@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_splits", "q_neardup", "q_provenance", "q_syntax", "q_texts", "q_truncation", "q_licenses"]
+MODULES = ["q_splits", "q_neardup", "q_provenance", "q_overlap", "q_syntax", "q_texts", "q_truncation", "q_licenses"]
 
 QUERIES: dict = {}
 ORACLES: dict = {}
