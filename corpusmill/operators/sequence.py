@@ -171,20 +171,25 @@ def drawn_edit(vector: Column, seed: Column) -> Column:
     return F.struct(code.alias("code"), index.alias("index"), token.alias("token"), F.when(code != "i", original).alias("original"))
 
 
-def single_fix(before: Column, after: Column) -> Column:
-    """The one edit that turns ``before`` into ``after``, placed behind their common beginning; null if
-    none does."""
-    n, m = F.size(before), F.size(after)
-    pairs = F.arrays_zip(before.alias("a"), after.alias("b"))
-    differs = F.transform(pairs, lambda p: ~p["a"].eqNullSafe(p["b"]))
-    at = F.array_position(differs, True).cast("int") - 1
-    at = F.when(at < 0, F.least(n, m)).otherwise(at)
-    edit = F.when(m == n + 1, F.struct(F.lit("i").alias("code"), at.alias("index"), F.get(after, at).alias("token"), F.lit(None).cast("int").alias("original"))).when(
-        m == n - 1, F.struct(F.lit("x").alias("code"), at.alias("index"), F.lit(None).cast("int").alias("token"), F.get(before, at).alias("original"))
-    ).when((m == n) & (at < n), F.struct(F.lit("s").alias("code"), at.alias("index"), F.get(after, at).alias("token"), F.get(before, at).alias("original")))
+def with_single_fix(pairs: DataFrame, before: str, after: str) -> DataFrame:
+    """``pairs`` with fix: the one edit that turns ``before`` into ``after``, placed behind their common
+    beginning; null if none does.
+
+    Step by step in columns, so that the common beginning is looked for once.
+    """
+    a, b = F.col(before), F.col(after)
+    shortest = F.least(F.size(a), F.size(b))
+    differs = F.zip_with(F.slice(a, F.lit(1), shortest), F.slice(b, F.lit(1), shortest), lambda x, y: x != y)
+    found = pairs.withColumn("_at", F.array_position(differs, True).cast("int") - 1)
+    found = found.withColumn("_at", F.when(F.col("_at") < 0, shortest).otherwise(F.col("_at")))
+    at, more = F.col("_at"), F.size(b) - F.size(a)
     rest = lambda v, skip: F.slice(v, at + 1 + skip, F.greatest(F.size(v) - at - skip, F.lit(0)))
-    same = F.when(m == n + 1, rest(before, 0) == rest(after, 1)).when(m == n - 1, rest(before, 1) == rest(after, 0)).otherwise(rest(before, 1) == rest(after, 1))
-    return F.when(same, edit)
+    code = F.when(more == 1, "i").when(more == -1, "x").when((more == 0) & (at < F.size(a)), "s")
+    found = found.withColumn("_code", code).withColumn("_same", rest(a, (F.col("_code") != "i").cast("int")) == rest(b, (F.col("_code") != "x").cast("int")))
+    edit = F.struct(
+        F.col("_code").alias("code"), at.alias("index"), F.when(F.col("_code") != "x", F.get(b, at)).alias("token"), F.when(F.col("_code") != "i", F.get(a, at)).alias("original")
+    )
+    return found.withColumn("fix", F.when(F.col("_same"), edit)).drop("_at", "_code", "_same")
 
 
 def distance(before: Column, after: Column) -> Column:

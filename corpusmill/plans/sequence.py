@@ -89,10 +89,10 @@ def token_distance(spark, d):
 
 def determine_fix(spark, d):
     lines = F.transform(s.tokens_with_lines(F.col("text")), lambda t: t["line"])
-    e = _edited(spark, d).join(_documents(spark, d).where("text IS NOT NULL"), "doc_id").withColumn("fix", s.single_fix(F.col("vector"), F.col("mutant")))
-    return e.where("fix IS NOT NULL").select(
-        "doc_id", "fix.code", "fix.index", s.edit_line(lines, F.col("fix")).alias("line"), s.to_text(F.col("fix.token")).alias("new_token"), s.to_text(F.col("fix.original")).alias("old_token")
-    )
+    e = s.with_single_fix(_edited(spark, d).join(_documents(spark, d).where("text IS NOT NULL"), "doc_id"), "vector", "mutant")
+    # unfolded from an array: a filter on fix would be pushed down and work everything out again
+    fixes = e.select("doc_id", s.edit_line(lines, F.col("fix")).alias("line"), F.inline(F.array_compact(F.array("fix"))))
+    return fixes.select("doc_id", "code", "index", "line", s.to_text(F.col("token")).alias("new_token"), s.to_text(F.col("original")).alias("old_token"))
 
 
 def _positions(spark, d):
@@ -251,10 +251,10 @@ ORACLES = {
         FROM {_MUTANT}""",
     "determine_fix": f"""
         WITH m AS (SELECT *, list_position(list_transform(range(1, least(len(v), len(w)) + 1), lambda i: v[i] <> w[i]), true) AS p FROM {_MUTANT}),
-        a AS (SELECT *, CASE WHEN coalesce(p, 0) > 0 THEN p - 1 ELSE least(len(v), len(w)) END AS at,
+        a AS (SELECT *, CASE WHEN coalesce(p, 0) > 0 THEN p - 1 ELSE least(len(v), len(w)) END AS loc,
           flatten(list_transform(range(1, len(string_split(text, chr(10))) + 1), lambda i: list_transform(regexp_extract_all(string_split(text, chr(10))[i], '{s.PATTERN}'), lambda t: i))) AS lines FROM m)
-        SELECT doc_id, code, CAST(at AS INTEGER) AS index, lines[CASE WHEN code = 'i' THEN greatest(at - 1, 0) ELSE at END + 1] AS line,
-          CASE WHEN code <> 'x' THEN {_ALL}[w[at + 1] + 1] END AS new_token, CASE WHEN code <> 'i' THEN {_ALL}[v[at + 1] + 1] END AS old_token FROM a""",
+        SELECT doc_id, code, CAST(loc AS INTEGER) AS index, lines[CASE WHEN code = 'i' THEN greatest(loc - 1, 0) ELSE loc END + 1] AS line,
+          CASE WHEN code <> 'x' THEN {_ALL}[w[loc + 1] + 1] END AS new_token, CASE WHEN code <> 'i' THEN {_ALL}[v[loc + 1] + 1] END AS old_token FROM a""",
     "distribution_metrics": f"""
         SELECT vec_id, round({_XENT}, 6) AS xentropy, round(f[truth + 1] * g[truth + 1], 6) AS indexed_prob, round(list_cosine_similarity(f, g), 6) AS cosine,
           round(1 - list_sum(list_transform(range(1, 33), lambda i: abs(f[i] - g[i]))) / 2, 6) AS agreement, true AS normal FROM {_DIST}""",
