@@ -36,6 +36,11 @@ def tokens_with_lines(text: Column) -> Column:
     return F.flatten(F.transform(lines, lambda line, i: F.transform(tokens(line), lambda t: F.struct(t.alias("token"), (i + 1).alias("line")))))
 
 
+def token_lines(text: Column) -> Column:
+    """Line of each token."""
+    return F.flatten(F.transform(F.split(text, "\n"), lambda line, i: F.array_repeat(i + 1, F.size(tokens(line)))))
+
+
 def abstracted(token: Column) -> Column:
     """Entry of a token: keywords and marks stand for themselves, other words for their class."""
     return F.when(token.isin(KEYWORDS) | token.isin(PUNCTUATION), token).when(token.rlike(r"^\p{N}"), "<NUMBER>").when(token.rlike(r"^[\p{L}_]"), "<IDENTIFIER>").otherwise("<OTHER>")

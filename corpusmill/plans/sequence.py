@@ -88,7 +88,7 @@ def token_distance(spark, d):
 
 
 def determine_fix(spark, d):
-    lines = F.transform(s.tokens_with_lines(F.col("text")), lambda t: t["line"])
+    lines = s.token_lines(F.col("text"))
     e = s.with_single_fix(_edited(spark, d).join(_documents(spark, d).where("text IS NOT NULL"), "doc_id"), "vector", "mutant")
     # unfolded from an array: a filter on fix would be pushed down and work everything out again
     fixes = e.select("doc_id", s.edit_line(lines, F.col("fix")).alias("line"), F.inline(F.array_compact(F.array("fix"))))
