@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["skew", "corpus", "evaluation", "sequence"]
+MODULES = ["skew", "corpus", "evaluation", "sequence", "languages"]
 
 
 def _gather(what: str) -> dict:
