@@ -18,6 +18,8 @@ _TOKENS = (
 _LEX = re.compile(rf"{_COMMENT}|{_TEMPLATE}|{_TOKENS}|[^\s\ufeff]", re.DOTALL)
 _STEP = re.compile(rf"{_COMMENT}|{_TOKENS}|[^\s\ufeff]", re.DOTALL)
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[\w$]*")
+#: Where a line break makes an error of what would parse without it.
+_LINE_MATTERS = re.compile(r"\bthrow\s*[\n\r]|[\n\r]\s*=>")
 # The reserved words, and the words that are reserved in some places.
 _RESERVED = (
     "break case catch class const continue debugger default delete do else enum export extends finally for function if import in "
@@ -1034,7 +1036,7 @@ def check(source: bytes) -> list[tuple[int, str]]:
     if text[:2] == "#!":
         text = "//" + text
     try:
-        parser = _parser(text, False)
+        parser = _parser(text, bool(_LINE_MATTERS.search(text)))
         parser.program()
         if not parser.errors:
             return []

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import codecs
 import re
+import unicodedata
 
 from corpusmill.llm.parsers.base import BAD, END, Kinds, SyntaxFault, private
 
@@ -37,10 +38,18 @@ _NUMBER = re.compile(
     re.ASCII,
 )
 _QUOTED = re.compile(r"""'[^']*'|"[^"]*\"""")
-_ESCAPE = re.compile(r"\\(?:\\|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|N\{[^}]+\}|([xuUN])|.)", re.DOTALL)
+_ESCAPE = re.compile(r"\\(?:\\|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|N\{(?P<name>[^}]+)\}|(?P<bad>[xuUN])|.)", re.DOTALL)
 _BYTE_ESCAPE = re.compile(r"\\(?:\\|x[0-9a-fA-F]{2}|(x)|.)", re.DOTALL)
 
 
+def _named(name: str | None) -> bool:
+    """Whether a character of that name exists; also for none."""
+    try:
+        return name is None or bool(unicodedata.lookup(name))
+    except KeyError:
+        return False
+
+
 def _classify(text: str) -> tuple[str, bool]:
     c = text[0]
     if "\n" in text[:1] or (c in " \t\f#" and "\n" in text):
@@ -53,7 +62,7 @@ def _classify(text: str) -> tuple[str, bool]:
             if not text.isascii() or ("r" not in prefix and any(m[1] for m in _BYTE_ESCAPE.finditer(text))):
                 return BAD, False
             return "y", False
-        if "r" not in prefix and "\\" in text and any(m[1] for m in _ESCAPE.finditer(text)):
+        if "r" not in prefix and "\\" in text and any(m["bad"] or not _named(m["name"]) for m in _ESCAPE.finditer(text)):
             return BAD, False
         if "f" in prefix and not _fields_parse(text[len(prefix):]):
             return BAD, False

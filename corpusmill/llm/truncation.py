@@ -40,7 +40,7 @@ def lengths(text: str) -> list[int]:
         n,
         n if ascii_ else len(text.encode("utf-8", "replace")),
         n if ascii_ else len(text.encode("utf-16-le", "replace")) // 2,
-        n + 4 * text.count("&") + 3 * (text.count("<") + text.count(">")) + 5 * quotes + 4 * text.count("'"),
+        n + 4 * text.count("&") + 3 * (text.count("<") + text.count(">")) + 5 * (quotes + text.count("'")),
         n + quotes + text.count("\\") + text.count("\n") + text.count("\r") + text.count("\t"),
         n + newlines,
     ]
