@@ -26,7 +26,7 @@ from corpusmill.llm import windows as w
 from corpusmill.runtime import cut
 
 
-def merge_short_lists(docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n_docs: int, block: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def merge_short_lists(docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n_docs: int, block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (x << 32 | y, x < y) that meet in the lists, with the number of lists they share.
 
     List i is docs[starts[i]:starts[i] + lengths[i]], ascending. Worked off in blocks of bounded size.
@@ -52,26 +52,20 @@ def merge_short_lists(docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
 
 
 def similar_in_part(part: w.Part, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Document pairs (a, b) of the part with |A n B| >= c (|A| + |B|), by divide, skip and probe."""
+    """Pairs (a, b) of the part's documents with |A n B| >= c (|A| + |B|), by divide, skip and probe."""
     c = threshold / (1 + threshold)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(part.ids) < 2:
         return none
-    window, doc = part.postings >> np.uint64(32), (part.postings & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.append(True, window[1:] != window[:-1])
-    length = np.diff(np.append(np.nonzero(new)[0], len(window)))
-    list_of = np.cumsum(new) - 1
     need = np.ceil(part.counts * c / (1 - c) - 1e-9).astype(np.int64)  # T of each document
     skip = need // 2  # its longest lists, which are not merged
-    # rank of each posting among its document's lists, short to long
-    order = np.lexsort((list_of, length[list_of], doc))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order)) - np.repeat(part.own_starts, part.counts)
-    short = (rank < (part.counts - skip)[doc]) & (length[list_of] > 1)
-    docs, lists = doc[short], list_of[short]
+    docs, lengths = part.lists()
+    short = part.ranks(docs, np.repeat(lengths, lengths)) < (part.counts - skip)[docs]
+    lists = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[short]
+    docs = docs[short]
     if not len(docs):
         return none
-    starts = np.nonzero(np.append(True, lists[1:] != lists[:-1]))[0]
+    starts = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
     keys, met = merge_short_lists(docs, starts, np.diff(np.append(starts, len(docs))), len(part.ids))
     a, b = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
     required = np.maximum(np.ceil((part.counts[a] + part.counts[b]) * c - 1e-9), 1)
@@ -87,8 +81,8 @@ def candidates(packed: DataFrame, search) -> DataFrame:
 
     def find(frame: pd.DataFrame) -> pd.DataFrame:
         part = w.Part(frame)
-        a, b = search(part)
-        return pd.DataFrame({"a": part.ids[a], "b": part.ids[b]})
+        a, b = (part.ids[x] for x in search(part))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return packed.groupBy("part").applyInPandas(find, "a bigint, b bigint").distinct()
 
@@ -101,15 +95,12 @@ def count_overlaps(packed: DataFrame, pairs: DataFrame) -> DataFrame:
         out = pd.DataFrame({"a": wanted["a"], "b": wanted["b"]})
         if len(frame):
             part = w.Part(frame)
-            at = [np.searchsorted(part.ids, wanted[c].to_numpy()) for c in "ab"]
-            here = [i < len(part.ids) for i in at]
-            here = [h & (part.ids[np.where(h, i, 0)] == wanted[c].to_numpy()) for h, i, c in zip(here, at, "ab")]
-            both = here[0] & here[1]
+            a, b = part.find(wanted["a"].to_numpy()), part.find(wanted["b"].to_numpy())
+            both = (a >= 0) & (b >= 0)
             n = np.zeros(len(wanted), np.int64)
-            n[both] = part.overlaps(at[0][both], at[1][both])
+            n[both] = part.overlaps(a[both], b[both])
             out["n"] = n
-            for c, h, i in zip("ab", here, at):
-                out[f"n_{c}"] = np.where(h, part.counts[np.where(h, i, 0)], 0)
+            out["n_a"], out["n_b"] = (np.where(x >= 0, part.counts[x], 0) for x in (a, b))
         else:
             out["n"] = out["n_a"] = out["n_b"] = 0
         out["hash"] = None

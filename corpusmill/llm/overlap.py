@@ -26,33 +26,32 @@ TRAINING, EVALUATION = 1, 2
 SMALL = 500_000
 
 
-def segments_in_part(part: w.Part, threshold: float, block: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def segments_in_part(part: w.Part, threshold: float, block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (a, b), a < b, of the part with one document in evaluation and the other in training, that
     share enough of the part's windows; found by k + 1 segments of the one in evaluation."""
     c = threshold / (1 + threshold)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if len(part.ids) < 2:
         return none
-    window, doc = part.postings >> np.uint64(32), (part.postings & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    list_of = np.cumsum(np.append(False, window[1:] != window[:-1]))
-    trained = (part.sides[doc] & TRAINING) > 0
-    length = np.bincount(list_of[trained], minlength=list_of[-1] + 1)
     need = np.ceil(part.counts * c / (1 - c) - 1e-9).astype(np.int64)
     segments = part.counts - need + 1
-    order = np.lexsort((list_of, length[list_of], doc))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order)) - np.repeat(part.own_starts, part.counts)
-    cut = np.flatnonzero((rank < segments[doc]) & ((part.sides[doc] & EVALUATION) > 0) & (length[list_of] > 0))
-    train_docs, train_lists = doc[trained], list_of[trained]
-    starts = np.searchsorted(train_lists, list_of[cut])
-    n = length[list_of[cut]]
+    docs, lengths = part.lists()
+    lists = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    trained = (part.sides[docs] & TRAINING) > 0
+    length = np.bincount(lists[trained], minlength=len(lengths))  # of each window in training
+    known = length[lists] > 0
+    docs, lists, trained = docs[known], lists[known], trained[known]
+    cut = np.flatnonzero((part.ranks(docs, length[lists]) < segments[docs]) & ((part.sides[docs] & EVALUATION) > 0))
+    train_docs, train_lists = docs[trained], lists[trained]
+    starts = np.searchsorted(train_lists, lists[cut])
+    n = length[lists[cut]]
     keys = np.zeros(0, np.uint64)
     groups = np.cumsum(n) // block
     for g in np.unique(groups):
         own = groups == g
         size = n[own]
-        x = np.repeat(doc[cut[own]], size)
-        y = train_docs[np.repeat(starts[own] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        x = np.repeat(docs[cut[own]], size).astype(np.int64)
+        y = train_docs[np.repeat(starts[own] - np.cumsum(size) + size, size) + np.arange(size.sum())].astype(np.int64)
         small, large = np.minimum(part.sizes[x], part.sizes[y]), np.maximum(part.sizes[x], part.sizes[y])
         ok = (x != y) & (small >= threshold * large - 1e-9)
         lo, hi = np.minimum(x, y)[ok], np.maximum(x, y)[ok]

@@ -112,35 +112,93 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Part:
-    """The distinct documents of one part: ids (ascending), sides, sizes, counts and sorted postings.
+    """The distinct documents of one part: ids, sides, sizes, counts and each one's ascending windows.
 
-    Documents with equal window sets have equal ids and are held once; their sides are united.
-    ``postings`` are (window << 32 | document), ascending.
+    Documents with equal window sets have equal ids and are held once, at their first place; their
+    sides are united, and the others' counts are 0. Inverted lists are made for an eighth of the
+    windows at a time, and lists of one document are dropped at once, so the peak stays near four
+    times the packed windows.
     """
 
     def __init__(self, frame: pd.DataFrame) -> None:
         gather = lambda name, kind: np.frombuffer(b"".join(frame[name]), kind)
-        ids, sides, sizes, counts, tokens = gather("ids", np.int64), gather("sides", np.uint8), gather("sizes", np.int32), gather("counts", np.uint32).astype(np.int64), gather("tokens", np.uint32)
-        starts = np.cumsum(counts) - counts
-        self.ids, first, back = np.unique(ids, return_index=True, return_inverse=True)
+        self.ids, sides, self.sizes, counts = gather("ids", np.int64), gather("sides", np.uint8), gather("sizes", np.int32), gather("counts", np.uint32).astype(np.int64)
+        self.tokens = gather("tokens", np.uint32)
+        self.starts = np.cumsum(counts) - counts
+        self.order = np.argsort(self.ids, kind="stable")
+        ranked = self.ids[self.order]
+        new = np.append(True, ranked[1:] != ranked[:-1]) if len(ranked) else np.zeros(0, bool)
+        self.firsts = self.order[new]  # documents in the order of their ids
         self.sides = np.zeros(len(self.ids), np.uint8)
-        np.bitwise_or.at(self.sides, back, sides)
-        self.sizes, self.counts = sizes[first], counts[first]
-        doc = np.repeat(np.arange(len(first), dtype=np.uint64), self.counts)
-        at = np.repeat(starts[first] - np.cumsum(self.counts) + self.counts, self.counts) + np.arange(len(doc))
-        self.own_starts = np.cumsum(self.counts) - self.counts
-        self.tokens = tokens[at]
-        self.postings = np.sort(self.tokens.astype(np.uint64) << np.uint64(32) | doc)
-
-    def overlaps(self, a: np.ndarray, b: np.ndarray, block: int = 100_000) -> np.ndarray:
-        """Common windows of the document pairs (a[i], b[i]): each window of a is probed in b."""
+        np.bitwise_or.at(self.sides, self.firsts[np.cumsum(new) - 1], sides[self.order])
+        self.counts = np.zeros(len(self.ids), np.int64)
+        self.counts[self.firsts] = counts[self.firsts]
+        self._held = counts
+
+    def find(self, ids: np.ndarray) -> np.ndarray:
+        """Documents of the ids, -1 where there is none."""
+        known = self.ids[self.firsts]
+        at = np.searchsorted(known, ids)
+        at[at == len(known)] = 0
+        return np.where(known[at] == ids, self.firsts[at], -1) if len(known) else np.full(len(ids), -1)
+
+    def lists(self, slices: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """Documents of the inverted lists of two or more, one list after the other, and their lengths."""
+        docs = np.repeat(np.arange(len(self.ids), dtype=np.int32), self._held)
+        live = self.counts > 0
+        found: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        step = (1 << 32) // slices
+        for n in range(slices):
+            at = np.flatnonzero((self.tokens >= np.uint32(n * step)) & (self.tokens <= np.uint32((n + 1) * step - 1)))
+            own = docs[at]
+            keep = live[own]
+            key = self.tokens[at[keep]].astype(np.uint64)
+            key <<= np.uint64(32)
+            key |= own[keep].astype(np.uint64)
+            key.sort()
+            window = (key >> np.uint64(32)).astype(np.uint32)
+            begins = np.flatnonzero(np.append(True, window[1:] != window[:-1])) if len(window) else np.zeros(0, np.int64)
+            length = np.diff(np.append(begins, len(window)))
+            shared = length > 1
+            found.append((key[np.repeat(shared, length)] & np.uint64(0xFFFFFFFF)).astype(np.int32))
+            lengths.append(length[shared])
+        return np.concatenate(found), np.concatenate(lengths)
+
+    def ranks(self, docs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Rank of each posting among those of its document by ascending weight (then by list), counted
+        behind the document's windows that are not listed."""
+        key = docs.astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= weights.astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        del key
+        listed = np.bincount(docs, minlength=len(self.ids))
+        place = np.arange(len(docs), dtype=np.int32)
+        place += np.repeat((self.counts - np.cumsum(listed)).astype(np.int32), listed)
+        rank = np.empty(len(docs), np.int32)
+        rank[order] = place
+        return rank
+
+    def overlaps(self, a: np.ndarray, b: np.ndarray, block: int = 30_000) -> np.ndarray:
+        """Common windows of the document pairs (a[i], b[i]): each window of a is probed in b by binary
+        search among the windows of b."""
         out = np.zeros(len(a), np.int64)
         for lo in range(0, len(a), block):
             x, y = a[lo : lo + block], b[lo : lo + block]
             n = self.counts[x]
-            at = np.repeat(self.own_starts[x] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            probe = self.tokens[at].astype(np.uint64) << np.uint64(32) | np.repeat(y, n).astype(np.uint64)
-            found = np.searchsorted(self.postings, probe)
-            found[found == len(self.postings)] = 0
-            out[lo : lo + block] = np.add.reduceat(np.append(self.postings[found] == probe, False), np.cumsum(n) - n) * (n > 0) if len(n) else 0
+            at = np.repeat(self.starts[x] - np.cumsum(n) + n, n)
+            at += np.arange(len(at))
+            wanted = self.tokens[at]
+            low = np.repeat(self.starts[y], n)
+            end = np.repeat(self.starts[y] + self.counts[y], n)
+            high = end.copy()
+            for _ in range(int(self.counts[y].max(initial=0)).bit_length()):
+                middle = (low + high) >> 1
+                less = self.tokens[np.minimum(middle, len(self.tokens) - 1)] < wanted
+                less &= middle < high
+                low = np.where(less, middle + 1, low)
+                high = np.where(less, high, middle)
+            hit = (low < end) & (self.tokens[np.minimum(low, len(self.tokens) - 1)] == wanted) if len(self.tokens) else np.zeros(0, bool)
+            out[lo : lo + block] = np.bincount(np.repeat(np.arange(len(x)), n)[hit], minlength=len(x))
         return out
