@@ -23,7 +23,7 @@ from corpusmill.llm import windows as w
 from corpusmill.sources.tables import owner_key
 
 TRAINING, EVALUATION = 1, 2
-SMALL = 500_000
+SMALL = 300_000
 
 
 def segments_in_part(part: w.Part, threshold: float, block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:

@@ -235,6 +235,7 @@ HAND = "import a\n\nclass Thing(Base):\n    def run(self, x):\n        return se
         ("# Tools for code that others generated\n" + HAND, {"notice": False}),
         ("/*! somelib v1.2.3 | MIT */\n" + HAND, {"banner": "somelib"}),
         ("# Copyright 2012 Some One\n" + HAND, {"banner": None}),
+        ("# Python 3.6\n" + HAND, {"banner": None}),
         ("const x = [" + ",".join("1234" for _ in range(60)) + "];\n", {"data": True}),
         ("x = {'a': 1}\n" + HAND, {"data": False}),
         ("class A {\n static final int[] B = {\n" + ",".join("12" for _ in range(40)) + "\n };\n}\n", {"data": True}),
