@@ -36,14 +36,24 @@ class Language:
     name: str
     extensions: tuple[str, ...]
     tokenise: Callable[[bytes], list[Token]]
-    check: Callable[[bytes], bool]
+    check: Callable[[bytes], bool] | None
     entry: Callable[[Token], str]
     physical: Callable[[Token], bool]
 
-    def summarise(self, source: bytes) -> tuple[int, int]:
+    def parses(self, source: bytes, tokens: list[Token] | None = None) -> bool:
+        """By the language's own check, or where it has none by the tokens: all known, brackets in pairs."""
+        return self.check(source) if self.check else balanced(self.tokenise(source) if tokens is None else tokens)
+
+    def summarise(self, source: bytes, tokens: list[Token] | None = None) -> tuple[int, int]:
         """(lines that hold a token, tokens)."""
-        tokens = [t for t in self.tokenise(source) if self.physical(t)]
-        lines = {n for t in tokens if t.name not in ("NEWLINE", "DEDENT") for n in range(t.line, t.end_line + 1)}
+        tokens = [t for t in (self.tokenise(source) if tokens is None else tokens) if self.physical(t)]
+        lines: set[int] = set()
+        for t in tokens:
+            if t.line == t.end_line:
+                if t.name not in ("NEWLINE", "DEDENT"):
+                    lines.add(t.line)
+            else:
+                lines.update(range(t.line, t.end_line + 1))
         return len(lines), len(tokens)
 
 
@@ -238,8 +248,8 @@ def balanced(tokens: list[Token]) -> bool:
 
 LANGUAGES: dict[str, Language] = {
     "python": Language("python", (".py",), python_tokens, python_check, python_entry, lambda t: t.name not in _EXTRANEOUS),
-    "java": Language("java", (".java",), java_tokens, lambda s: balanced(java_tokens(s)), lambda t: t.name, lambda t: True),
-    "javascript": Language("javascript", (".js",), javascript_tokens, lambda s: balanced(javascript_tokens(s)), javascript_entry, lambda t: True),
+    "java": Language("java", (".java",), java_tokens, None, lambda t: t.name, lambda t: True),
+    "javascript": Language("javascript", (".js",), javascript_tokens, None, javascript_entry, lambda t: True),
 }
 
 
@@ -282,8 +292,10 @@ def parsed(sources: DataFrame) -> DataFrame:
             rows = []
             for key, source, name in zip(frame["hash"], frame["source"], frame["language"]):
                 data = bytes(source or b"")
-                if language(name).check(data):
-                    sloc, n = language(name).summarise(data)
+                lang = language(name)
+                tokens = None if lang.check else lang.tokenise(data)
+                if lang.parses(data, tokens):
+                    sloc, n = lang.summarise(data, tokens)
                     rows.append((key, name, sloc, n, None))
                 else:
                     rows.append((key, name, None, None, "Syntax error"))

@@ -85,21 +85,29 @@ def ascii_code(vector: Column) -> Column:
 
 
 def forward_contexts(vector: Column, k: int) -> Column:
-    """Per position a struct (pos, context, target): the k indices before it, padded with <s>."""
-    padded = F.concat(F.array_repeat(F.lit(START), k), vector)
-    return F.transform(vector, lambda v, i: F.struct(i.alias("pos"), F.slice(padded, i + 1, k).alias("context"), v.alias("target")))
+    """Per position a struct (c1 .. ck, target): the k indices before it, padded with <s>.
+
+    Shifted copies of the whole vector are zipped: work grows with k times its length.
+    """
+    n = F.size(vector)
+    shifted = [F.slice(F.concat(F.array_repeat(F.lit(START), j), vector), F.lit(1), n).alias(f"c{j}") for j in range(k, 0, -1)]
+    return F.arrays_zip(*shifted, vector.alias("target"))
 
 
 def backward_contexts(vector: Column, k: int) -> Column:
-    """Per position a struct (pos, context, target): the k indices behind it, in order, padded with </s>."""
-    padded = F.concat(vector, F.array_repeat(F.lit(END), k))
-    return F.transform(vector, lambda v, i: F.struct(i.alias("pos"), F.slice(padded, i + 2, k).alias("context"), v.alias("target")))
+    """Per position a struct (c1 .. ck, target): the k indices behind it, in order, padded with </s>."""
+    n = F.size(vector)
+    rest = lambda j: F.slice(vector, F.least(F.lit(j), n) + 1, F.greatest(n - j, F.lit(0)))
+    shifted = [F.slice(F.concat(rest(j), F.array_repeat(F.lit(END), j)), F.lit(1), n).alias(f"c{j}") for j in range(1, k + 1)]
+    return F.arrays_zip(*shifted, vector.alias("target"))
 
 
 def contexts(vectors_: DataFrame, k: int, backwards: bool = False, key: str = "doc_id") -> DataFrame:
     """A row per token with its context."""
-    make = backward_contexts if backwards else forward_contexts
-    return vectors_.select(key, F.inline(make(F.col("vector"), k)))
+    order = range(1, k + 1) if backwards else range(k, 0, -1)
+    zipped = (backward_contexts if backwards else forward_contexts)(F.col("vector"), k)
+    rows = vectors_.select(key, F.posexplode(zipped).alias("pos", "c"))
+    return rows.select(key, "pos", F.array(*(F.col(f"c.c{j}") for j in order)).alias("context"), F.col("c.target").alias("target"))
 
 
 def batch_targets(vectors_: DataFrame, size: int, top: int, key: str = "doc_id") -> DataFrame:

@@ -25,7 +25,7 @@ def test_java():
     assert lang.language("java").summarise(good.encode()) == (3, 12)
     assert [t.value for t in lang.java_tokens("p. \\u0042 \\uuu003B")] == ["p", ".", "B", ";"]
     assert [t.name for t in lang.java_tokens("#")] == ["ERROR"]
-    assert lang.language("java").check(b"class A {}") and not lang.language("java").check(b"class A {")
+    assert lang.language("java").parses(b"class A {}") and not lang.language("java").parses(b"class A {")
     assert [t.name for t in lang.java_tokens("1L 1f 0x1.8p1 1e5 'c' \"s\" >>>= -> _")] == [
         "LONGLITERAL", "FLOATLITERAL", "DOUBLELITERAL", "DOUBLELITERAL", "CHARLITERAL", "STRINGLITERAL", "GTGTGTEQ", "ARROW", "UNDERSCORE"
     ]

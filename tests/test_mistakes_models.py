@@ -70,7 +70,7 @@ def test_lstm_scores(spark):
 
 def test_validated_candidates(spark):
     df = spark.createDataFrame([(1, "class A { }"), (2, "class A {"), (3, None)], "rank int, text string")
-    assert [r.rank for r in models.validated(df, "text", languages.LANGUAGES["java"].check, ["rank"]).collect()] == [1]
+    assert [r.rank for r in models.validated(df, "text", languages.LANGUAGES["java"].parses, ["rank"]).collect()] == [1]
 
 
 def test_seeded_order(spark):
