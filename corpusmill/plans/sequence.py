@@ -21,7 +21,7 @@ def _vectors(spark, d):
 
 
 def source_summary(spark, d):
-    return _documents(spark, d).where("text IS NOT NULL").select("doc_id", F.size(s.tokens(F.col("text"))).alias("n_tokens"), s.physical_lines(F.col("text")).alias("sloc"))
+    return _documents(spark, d).where("text IS NOT NULL").select("doc_id", F.size(s.tokens(F.col("text"))).cast("long").alias("n_tokens"), s.physical_lines(F.col("text")).cast("long").alias("sloc"))
 
 
 def discover_vocabulary(spark, d):
@@ -49,7 +49,7 @@ def oov_tokens(spark, d):
 
 def _contexts(spark, d, backwards):
     rows = s.contexts(_vectors(spark, d), 5, backwards)
-    return rows.select("doc_id", "pos", F.array_join(F.col("context").cast("array<string>"), " ").alias("context"), "target")
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.array_join(F.col("context").cast("array<string>"), " ").alias("context"), "target")
 
 
 def contexts_forward(spark, d):
@@ -70,7 +70,7 @@ def _edited(spark, d):
 
 
 def edits_apply(spark, d):
-    return _edited(spark, d).select("doc_id", "edit.code", "edit.index", "edit.token", "edit.original", F.array_join(F.col("mutant").cast("array<string>"), " ").alias("mutant"))
+    return _edited(spark, d).select("doc_id", "edit.code", F.col("edit.index").cast("long").alias("index"), F.col("edit.token").cast("long").alias("token"), "edit.original", F.array_join(F.col("mutant").cast("array<string>"), " ").alias("mutant"))
 
 
 def edits_inverse(spark, d):
@@ -84,7 +84,7 @@ def edits_roundtrip(spark, d):
 
 
 def token_distance(spark, d):
-    return _edited(spark, d).select("doc_id", s.distance(F.col("vector"), F.col("mutant")).alias("levenshtein"))
+    return _edited(spark, d).select("doc_id", s.distance(F.col("vector"), F.col("mutant")).cast("long").alias("levenshtein"))
 
 
 def determine_fix(spark, d):
@@ -92,7 +92,7 @@ def determine_fix(spark, d):
     e = s.with_single_fix(_edited(spark, d).join(_documents(spark, d).where("text IS NOT NULL"), "doc_id"), "vector", "mutant")
     # unfolded from an array: a filter on fix would be pushed down and work everything out again
     fixes = e.select("doc_id", s.edit_line(lines, F.col("fix")).alias("line"), F.inline(F.array_compact(F.array("fix"))))
-    return fixes.select("doc_id", "code", "index", "line", s.to_text(F.col("token")).alias("new_token"), s.to_text(F.col("original")).alias("old_token"))
+    return fixes.select("doc_id", "code", "index", F.col("line").cast("long").alias("line"), s.to_text(F.col("token")).alias("new_token"), s.to_text(F.col("original")).alias("old_token"))
 
 
 def _positions(spark, d):
@@ -108,7 +108,7 @@ def distribution_metrics(spark, d):
 
 def position_rank_topk(spark, d):
     scored = _positions(spark, d).withColumn("xentropy", F.round("xentropy", 6))
-    return m.worst_positions(scored, "label", "vec_id").select("label", "rank", "vec_id", "xentropy")
+    return m.worst_positions(scored, "label", "vec_id").select("label", F.col("rank").cast("long").alias("rank"), "vec_id", "xentropy")
 
 
 def best_suggestions(spark, d):
