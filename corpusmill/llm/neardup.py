@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm import windows as w
 from corpusmill.runtime import cut
 
+#: Documents that one task may hold in a part; some 600 bytes of worker memory each at its peak.
+BLOCK = 1_000_000
+
 
 def merge_short_lists(docs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n_docs: int, block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (x << 32 | y, x < y) that meet in the lists, with the number of lists they share.
@@ -77,17 +80,19 @@ def similar_in_part(part: w.Part, threshold: float) -> tuple[np.ndarray, np.ndar
 
 
 def candidates(packed: DataFrame, search) -> DataFrame:
-    """a, b of the packed rows' documents that ``search(Part) -> (a, b)`` finds in any part; a < b."""
+    """a < b, pair: the pairs of documents that ``search(Part) -> (a, b)`` finds in any part, each with one
+    pair of blocks that holds both."""
 
     def find(frame: pd.DataFrame) -> pd.DataFrame:
         part = w.Part(frame)
         a, b = (part.ids[x] for x in search(part))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "pair": frame["pair"].iloc[0]})
 
-    return packed.groupBy("part").applyInPandas(find, "a bigint, b bigint").distinct()
+    found = packed.groupBy("part", "pair").applyInPandas(find, "a bigint, b bigint, pair bigint")
+    return found.groupBy("a", "b").agg(F.min("pair").alias("pair"))
 
 
-def count_overlaps(packed: DataFrame, pairs: DataFrame) -> DataFrame:
+def count_overlaps(packed: DataFrame, pairs: DataFrame, with_members: bool) -> DataFrame:
     """Rows of two kinds. b not null: common windows ``n`` of the pair (a, b) in a part, and the
     counts of both there. b null: ``hash`` has the window set a, for sets in pairs or with copies."""
 
@@ -104,16 +109,31 @@ def count_overlaps(packed: DataFrame, pairs: DataFrame) -> DataFrame:
         else:
             out["n"] = out["n_a"] = out["n_b"] = 0
         out["hash"] = None
-        if len(frame) and frame["part"].iloc[0] == 0:
-            ids = np.frombuffer(b"".join(frame["ids"]), np.int64)
-            own = pd.DataFrame({"a": ids, "hash": np.concatenate([np.asarray(h, object) for h in frame["hashes"]])}).drop_duplicates()
+        if with_members and len(frame) and frame["part"].iloc[0] == 0:
+            own = _members(frame).drop_duplicates()
             own = own[own["a"].duplicated(keep=False) | own["a"].isin(pd.unique(wanted[["a", "b"]].to_numpy().ravel()))]
             own["b"] = own["n"] = own["n_a"] = own["n_b"] = None
             out = pd.concat([out.astype({"b": "Int64"}), own.astype({"b": "Int64"})], ignore_index=True)
         return out[["a", "b", "n", "n_a", "n_b", "hash"]]
 
-    everywhere = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(w.PARTS - 1))).alias("part"))
-    return packed.groupBy("part").cogroup(everywhere.groupBy("part")).applyInPandas(count, "a bigint, b bigint, n bigint, n_a bigint, n_b bigint, hash string")
+    everywhere = pairs.select("a", "b", "pair", F.explode(F.sequence(F.lit(0), F.lit(w.PARTS - 1))).alias("part"))
+    return packed.groupBy("part", "pair").cogroup(everywhere.groupBy("part", "pair")).applyInPandas(count, "a bigint, b bigint, n bigint, n_a bigint, n_b bigint, hash string")
+
+
+def _members(frame: pd.DataFrame) -> pd.DataFrame:
+    """a, hash of the packs of part 0."""
+    return pd.DataFrame({"a": np.frombuffer(b"".join(frame["ids"]), np.int64), "hash": np.concatenate([np.asarray(h, object) for h in frame["hashes"]])})
+
+
+def _all_members(packed: DataFrame) -> DataFrame:
+    """a, hash of every document."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield _members(frame)
+
+    return packed.where("part = 0").select("ids", "hashes").mapInPandas(run, "a bigint, hash string").distinct()
 
 
 def packed_windows(sources: DataFrame) -> DataFrame:
@@ -122,16 +142,39 @@ def packed_windows(sources: DataFrame) -> DataFrame:
     return sources.select("hash", "source", side.alias("side")).mapInArrow(w.pack, w.PACKED)
 
 
-def similar_sets(sources: DataFrame, threshold: float, search=None) -> tuple[DataFrame, DataFrame]:
+def in_block_pairs(packed: DataFrame, blocks: int) -> DataFrame:
+    """Packed rows with the pairs of blocks they go to; with one block each goes to pair 0.
+
+    Packs fall into blocks by their names, the same in every part, and each pair of blocks is worked
+    off by itself. So a task holds the documents of two blocks at most, and every two documents meet.
+    """
+    if blocks <= 1:
+        return packed.withColumn("pair", F.lit(0).cast("long"))
+    own = F.pmod("pack", F.lit(blocks))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda y: y != own)
+    return packed.withColumn("pair", F.explode(F.transform(others, lambda y: F.least(own, y) * blocks + F.greatest(own, y))))
+
+
+def similar_sets(sources: DataFrame, threshold: float, search=None, n_sources: int | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(a, b, similarity) between different window sets, and (a, hash): the sources of those sets
-    and of all sets that several sources share."""
+    and of all sets that several sources share.
+
+    ``n_sources`` spares counting the rows; above ``block`` of them, they are worked off in pairs of blocks.
+    """
+    n = sources.select("hash").count() if n_sources is None else n_sources
+    blocks = 1 if n <= block else -(-2 * n // block)
     packed = packed_windows(sources)
+    placed = in_block_pairs(packed, blocks)
     search = search or (lambda part: similar_in_part(part, threshold))
-    counted = cut(count_overlaps(packed, candidates(packed, search)))
+    counted = cut(count_overlaps(placed, candidates(placed, search), blocks == 1))
     sums = counted.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum(F.col("n_a") + F.col("n_b")).alias("all"))
     similarity = F.col("n") / (F.col("all") - F.col("n"))
     pairs = sums.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
-    return pairs, counted.where("hash IS NOT NULL").select("a", "hash")
+    if blocks == 1:
+        return pairs, counted.where("hash IS NOT NULL").select("a", "hash")
+    every = cut(_all_members(packed))
+    ends = sums.select(F.explode(F.array("a", "b")).alias("a")).unionByName(every.groupBy("a").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("a"))
+    return pairs, every.join(ends.distinct(), "a", "left_semi")
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -142,13 +185,13 @@ def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(within).select(F.least("hash", "other").alias("hash_a"), F.greatest("hash", "other").alias("hash_b"), "similarity")
 
 
-def similar_sources(sources: DataFrame, threshold: float = 0.5) -> DataFrame:
+def similar_sources(sources: DataFrame, threshold: float = 0.5, block: int = BLOCK) -> DataFrame:
     """hash_a, hash_b, similarity of all pairs of sources whose Jaccard index is at least ``threshold``.
 
     ``sources``: hash, source. Repeated rows count once; null hashes, and null, empty or blank sources
     and those of fewer than five tokens, have no pairs. An empty table gives an empty result.
     """
-    return expand(*similar_sets(sources, threshold))
+    return expand(*similar_sets(sources, threshold, block=block))
 
 
 def groups(sources: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -104,13 +104,13 @@ def _beside(big: DataFrame, few: DataFrame, key: str) -> DataFrame:
     return big.join(F.broadcast(few) if few.limit(SMALL + 1).count() <= SMALL else few, key)
 
 
-def near_overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5) -> DataFrame:
+def near_overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5, block: int = neardup.BLOCK) -> DataFrame:
     """set_name, hash_a, hash_b, similarity: near-equal sources of which one has results in training and
     the other in ``set_name`` (not training)."""
     side = F.when(F.col("set_name") == "training", TRAINING).otherwise(EVALUATION)
     sides = sets.groupBy("hash").agg(F.bit_or(side).cast("tinyint").alias("side"))
     tagged = _beside(source_file.select("hash", "source"), sides, "hash")
-    pairs, members = neardup.similar_sets(tagged, threshold, lambda part: segments_in_part(part, threshold))
+    pairs, members = neardup.similar_sets(tagged, threshold, lambda part: segments_in_part(part, threshold), source_file.select("hash").count(), block)
     expanded = neardup.expand(pairs, members)
     train = sets.where("set_name = 'training'").select("hash")
     held = sets.where("set_name <> 'training'")
@@ -121,7 +121,7 @@ def near_overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.
     return found.distinct()
 
 
-def overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5) -> DataFrame:
+def overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5, block: int = neardup.BLOCK) -> DataFrame:
     """set_name, hash_a <= hash_b, similarity: all overlaps of training with each other set.
 
     ``sets``: distinct (hash, set_name) without nulls. A source with results in training and in
@@ -131,7 +131,7 @@ def overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5) ->
     train = sets.where("set_name = 'training'").select("hash")
     both = sets.where("set_name <> 'training'").join(train, "hash", "left_semi").join(source_file.select("hash").distinct(), "hash", "left_semi")
     exact = both.select("set_name", F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(1.0).alias("similarity"))
-    return exact.unionByName(near_overlaps(source_file, sets, threshold))
+    return exact.unionByName(near_overlaps(source_file, sets, threshold, block))
 
 
 def edits(found: DataFrame, source_file: DataFrame, band: int = 64) -> DataFrame:

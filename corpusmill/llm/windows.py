@@ -61,9 +61,9 @@ def windows(tokens: np.ndarray) -> np.ndarray:
     return np.unique(h)
 
 
-PACKED = "part int, ids binary, sides binary, sizes binary, counts binary, tokens binary, hashes array<string>"
+PACKED = "part int, pack bigint, ids binary, sides binary, sizes binary, counts binary, tokens binary, hashes array<string>"
 _PACKED_ARROW = pa.schema(
-    [("part", pa.int32()), *((c, pa.binary()) for c in ("ids", "sides", "sizes", "counts", "tokens")), ("hashes", pa.list_(pa.string()))]
+    [("part", pa.int32()), ("pack", pa.int64()), *((c, pa.binary()) for c in ("ids", "sides", "sizes", "counts", "tokens")), ("hashes", pa.list_(pa.string()))]
 )
 
 
@@ -78,6 +78,7 @@ def _pack(hashes: list[str], sides: list[int], sets: list[np.ndarray]) -> pa.Rec
     every, doc, part = (every[order] >> np.uint64(32)).astype(np.uint32), doc[order], part[order]
     cuts = np.searchsorted(part, np.arange(PARTS + 1))
     rows: dict[str, list] = {name: [] for name in _PACKED_ARROW.names}
+    name_of_pack = xxhash.xxh3_64_intdigest(hashes[0]) >> 1
     for p in range(PARTS):
         own = slice(cuts[p], cuts[p + 1])
         counts = np.bincount(doc[own], minlength=len(sets))
@@ -86,7 +87,7 @@ def _pack(hashes: list[str], sides: list[int], sets: list[np.ndarray]) -> pa.Rec
             continue
         for name, value in zip(
             _PACKED_ARROW.names,
-            (p, ids[keep].tobytes(), side[keep].tobytes(), size[keep].tobytes(), counts[keep].astype(np.uint32).tobytes(), every[own].tobytes(), hashes if p == 0 else None),
+            (p, name_of_pack, ids[keep].tobytes(), side[keep].tobytes(), size[keep].tobytes(), counts[keep].astype(np.uint32).tobytes(), every[own].tobytes(), hashes if p == 0 else None),
         ):
             rows[name].append(value)
     return pa.RecordBatch.from_pydict(rows, schema=_PACKED_ARROW)

@@ -56,6 +56,12 @@ def test_pairs_equal_brute_force(spark, corpus, threshold):
     assert set(pairs) == brute_pairs(corpus, threshold)
 
 
+def test_pairs_equal_brute_force_in_pairs_of_blocks(spark, corpus):
+    df = spark.createDataFrame(corpus, "hash string, source binary").repartition(16)
+    pairs = [(r.hash_a, r.hash_b) for r in neardup.similar_sources(df, 0.5, block=40).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute_pairs(corpus, 0.5)
+
+
 def test_pairs_in_many_blocks(spark, corpus):
     lists = [np.array(sorted(random.Random(i).sample(range(50), 7))) for i in range(60)]
     docs = np.concatenate(lists)
@@ -131,7 +137,9 @@ def test_overlaps_equal_brute_force(spark, corpus):
     sets = sorted({(h, rng.choice(["training", "training", "validation", "test"])) for h in hashes for _ in range(rng.choice([0, 1, 1, 2]))})
     source = spark.createDataFrame(corpus, "hash string, source binary").withColumn("side", F.lit("clash"))
     df = spark.createDataFrame(sets, "hash string, set_name string")
+    blocks = overlap.overlaps(source.drop("side").repartition(9), df, block=30)
     found = overlap.overlaps(source.drop("side"), df)
+    assert {(r.set_name, r.hash_a, r.hash_b) for r in blocks.collect()} == brute_overlaps(corpus, sets)
     got = [(r.set_name, r.hash_a, r.hash_b) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == brute_overlaps(corpus, sets)
     report = overlap.overlap_report(found, spark.createDataFrame([(" O", "n", h, "p") for h in hashes[:30]], MAPPING))
