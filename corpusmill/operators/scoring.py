@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.binding import let
+
 #: The least positive single-precision number stands in for a probability of 0.
 LEAST = 1.401298464324817e-45
 
 
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
 def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    raised = F.transform(values, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda acc, y: acc + y))
+    def spread(v: Column) -> Column:
+        raised = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
+        return let(raised, lambda r: let(_sum(r), lambda total: F.transform(r, lambda x: x / total)))
+
+    return let(values, spread)
 
 
 def cross_entropy(distribution: Column, index: Column) -> Column:
