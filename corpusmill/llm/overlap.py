@@ -6,7 +6,7 @@ partner, so at most k of them can be destroyed; k + 1 of its windows, the rarest
 segments, and every training source that holds one of them, at any position, is a candidate. The
 candidates are counted exactly, since the similarity is one of sets: it forgives moved blocks, which
 an edit distance does not. The banded dynamic program over the token sequences therefore measures
-each pair's edits instead of deciding it.
+each pair's edits instead of deciding it; its band is doubled for a pair until the distance fits.
 """
 
 from __future__ import annotations
@@ -63,7 +63,12 @@ def segments_in_part(part: w.Part, threshold: float, block: int = 1_000_000) ->
 
 def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
     """Edit distance of two sequences if it is at most ``band``, by dynamic programming over the
-    diagonals that such a distance can reach; else None."""
+    diagonals that such a distance can reach; else None.
+
+    A row of the band is kept as two integers of 2 * band + 1 bits, which say where the distance rises
+    and falls by one from each cell to the next (Hyyro's bit vectors), and is worked out in a dozen
+    operations on them.
+    """
     n = min(len(a), len(b))
     same = a[:n] == b[:n]
     head = n if same.all() else int(np.argmin(same))
@@ -76,27 +81,42 @@ def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
         return None
     if not len(a) or not len(b):
         return max(len(a), len(b))
-    far = band + 1
+    if len(a) > len(b):
+        a, b = b, a
+    band = min(band, len(b))
+    codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1].astype(np.int32)
+    a, b = codes[: len(a)], np.pad(codes[len(a) :], band, constant_values=-1)
     width = 2 * band + 1
-    offsets = np.arange(width) - band  # column of a cell less its row
-    row = np.where((offsets >= 0) & (offsets <= len(b)), offsets, far)
-    steps = np.arange(width)
-    for i in range(1, len(a) + 1):
-        columns = i + offsets
-        inside = (columns >= 1) & (columns <= len(b))
-        differs = np.ones(width, np.int64)
-        differs[inside] = a[i - 1] != b[columns[inside] - 1]
-        down = np.append(row[1:], far) + 1
-        best = np.minimum(row + differs, down)
-        best[columns == 0] = i
-        best[(columns < 0) | (columns > len(b))] = far
-        best = np.minimum.accumulate(best - steps) + steps  # insertions run along the row
-        row = np.minimum(best, far)
-        row[(columns < 0) | (columns > len(b))] = far
-        if row.min() > band:
-            return None
-    distance = int(row[len(b) - len(a) + band])
-    return distance if distance <= band else None
+    cells = (1 << width) - 1
+    distance = len(b) - 2 * band - len(a)  # where the diagonal of the last cell begins
+    diagonal = 1 << (distance + band)
+    rises, falls = cells >> band << band, 0
+    block = max(1, (1 << 20) // width)
+    for lo in range(0, len(a), block):
+        rows = a[lo : lo + block]
+        equal = np.packbits(np.lib.stride_tricks.sliding_window_view(b[lo : lo + len(rows) + width - 1], width) == rows[:, None], axis=1, bitorder="little")
+        for row in equal:
+            x = int.from_bytes(row.tobytes(), "little")
+            free = ((((x & rises) + rises) ^ rises) | x | falls) & cells  # cells that cost no more than the one before on their diagonal
+            up = falls | (cells ^ (free | rises))
+            down = free & rises
+            if not free & diagonal:
+                distance += 1
+                if distance > band:
+                    return None
+            free >>= 1
+            rises, falls = down | (cells ^ (free | up)), free & up
+    return distance
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, band: int = 64) -> int:
+    """Edit distance of two sequences: the band is doubled until the distance fits, which it does at
+    the length of the longer one at the latest."""
+    most = max(len(a), len(b))
+    band = max(1, band)
+    while (distance := banded_distance(a, b, min(band, most))) is None:
+        band *= 2
+    return distance
 
 
 def _beside(big: DataFrame, few: DataFrame, key: str) -> DataFrame:
@@ -135,7 +155,8 @@ def overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5, bl
 
 
 def edits(found: DataFrame, source_file: DataFrame, band: int = 64) -> DataFrame:
-    """``found`` with the token edits between the two sources; null beyond ``band``."""
+    """``found`` with the token edits between the two sources, of every pair; ``band`` is the first to
+    be tried."""
     wanted = found.select(F.col("hash_a").alias("hash")).unionByName(found.select(F.col("hash_b").alias("hash"))).distinct()
     texts = _beside(source_file.select("hash", "source"), wanted, "hash").dropDuplicates(["hash"])
     pairs = found.join(texts.select(F.col("hash").alias("hash_a"), F.col("source").alias("_a")), "hash_a").join(texts.select(F.col("hash").alias("hash_b"), F.col("source").alias("_b")), "hash_b")
@@ -143,7 +164,7 @@ def edits(found: DataFrame, source_file: DataFrame, band: int = 64) -> DataFrame
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame["edits"] = pd.array(
-                [banded_distance(w.token_hashes(a), w.token_hashes(b), band) for a, b in zip(frame["_a"], frame["_b"])], dtype="Int64"
+                [edit_distance(w.token_hashes(a), w.token_hashes(b), band) for a, b in zip(frame["_a"], frame["_b"])], dtype="Int64"
             )
             yield frame[["set_name", "hash_a", "hash_b", "similarity", "edits"]]
 

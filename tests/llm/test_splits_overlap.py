@@ -179,6 +179,29 @@ def test_edits(spark):
     assert overlap.edits(found, source).first().edits == 1
 
 
+def test_edits_beyond_the_first_band(spark):
+    rng = random.Random(12)
+    words = text(rng, 300).split()
+    moved = words[150:] + words[:150]
+    longer = words + text(rng, 500).split()
+    other = text(rng, 280).split()
+    sources = {"a": words, "b": moved, "c": longer, "d": other, "e": []}
+    source = spark.createDataFrame([(h, " ".join(x).encode()) for h, x in sources.items()], "hash string, source binary")
+    pairs = [(x, y) for x in "abcde" for y in "abcde" if x <= y]
+    found = spark.createDataFrame([("test", x, y, 0.5) for x, y in pairs], "set_name string, hash_a string, hash_b string, similarity double")
+    got = {(r.hash_a, r.hash_b): r.edits for r in overlap.edits(found, source).collect()}
+    assert got == {(x, y): plain_distance(sources[x], sources[y]) for x, y in pairs}
+    assert got["a", "b"] > 64 and got["a", "c"] == 500
+
+
+def test_edit_distance_from_every_band():
+    rng = random.Random(13)
+    for _ in range(300):
+        a, b = ([rng.randrange(k) for _ in range(rng.randrange(60))] for k in (3, 5))
+        for band in (0, 1, 3, 64):
+            assert overlap.edit_distance(np.array(a, np.uint64), np.array(b, np.uint64), band) == plain_distance(a, b)
+
+
 # splits
 
 
