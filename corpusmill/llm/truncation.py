@@ -2,7 +2,8 @@
 
 Each text's length is taken again under the encodings in which a store may have counted it: code
 points, UTF-8 bytes, UTF-16 units, with HTML entities, as a JSON string, with CRLF line ends. Per
-source and encoding, a length at which most of the texts that reach it end is a hidden limit. Then
+source and encoding, every length at which most of the texts that reach it end may be a hidden limit;
+of the encodings that show a pile of texts, the one that holds most of it is kept. Then
 the endings are inspected: one that is inside a word, sentence or code block says that the text was
 cut; one that may be either (a link, a signature, a number before a full stop, an open bracket) says
 so only for texts that stand at a hidden limit of their source.
@@ -13,10 +14,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.runtime import cut
+
 ENCODINGS = ["chars", "utf8", "utf16", "html", "json", "crlf"]
 COMPLETE, EITHER, CUT = 0, 1, 2
 _CLOSING = "\"')]*_\u00bb\u201d\u2019"
@@ -97,38 +102,111 @@ def ending(text: str | None) -> int:
 
 
 def inspected(documents: DataFrame) -> DataFrame:
-    """doc_id, source, ending and the length of each encoding, for every document."""
+    """doc_id, source, ending, digest of the text and the length of each encoding, for every document.
+
+    Kept in the shared folder, some eighty bytes a document, as the limits and the verdicts read it.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["text"].tolist()
             out = pd.DataFrame([lengths(t) if t else [0] * len(ENCODINGS) for t in texts], columns=ENCODINGS, dtype="int64")
             out["ending"] = [ending(t) for t in texts]
+            out["digest"] = [xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "replace")) - (1 << 63) for t in texts]
             out["doc_id"], out["source"] = frame["doc_id"].to_numpy(), frame["source"].to_numpy()
             yield out
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "source", "text").mapInPandas(run, ", ".join(f"{e} bigint" for e in ENCODINGS) + f", ending int, doc_id {kind}, source string").select(
-        "doc_id", "source", "ending", *ENCODINGS
+    return cut(
+        documents.select("doc_id", "source", "text").mapInPandas(run, ", ".join(f"{e} bigint" for e in ENCODINGS) + f", ending int, digest bigint, doc_id {kind}, source string").select(
+            "doc_id", "source", "ending", "digest", *ENCODINGS
+        )
     )
 
 
-def hidden_limits(lengths_: DataFrame, least: int = 5, share: float = 0.5, slack: int = 3) -> DataFrame:
-    """source, encoding, size_limit: the length where most texts end that come so far.
+def piles(sizes: np.ndarray, counts: np.ndarray, least: int, share: float, slack: int) -> list[tuple[int, int, int]]:
+    """(length L, texts in [L - slack, L], texts that reach it) of a histogram with ascending sizes.
+
+    Every length is tested. There are at least ``least`` texts in [L - slack, L], at least ``share``
+    of all texts of L - slack or more that do not stand at a longer pile, so a second limit hides no
+    first one; and they are four standard deviations more than the lengths before, eight times as
+    many, let expect. L is the last frequent length of its pile.
+    """
+    total = np.append(0, np.cumsum(counts))
+    before = lambda x: total[np.searchsorted(sizes, x)]
+    at = before(sizes + 1) - before(sizes - slack)
+    wide = np.clip(sizes - slack - 1, 1, 8 * (slack + 1))
+    usual = (before(sizes - slack) - before(sizes - slack - wide)) * (slack + 1) / wide
+    likely = (at >= least) & (at > usual + 4 * np.sqrt(usual))
+    found: list[tuple[int, int, int]] = []
+    beyond = 0  # texts at the longer piles
+    floor = None
+    for i in np.flatnonzero(likely)[::-1]:
+        size = int(sizes[i])
+        lo, hi = np.searchsorted(sizes, [size - slack, size + slack + 1])
+        frequent = counts[lo:hi].max() / 2
+        if counts[i] < frequent or (counts[i + 1 : hi] >= frequent).any() or (floor is not None and size >= floor):
+            continue
+        reach = int(total[-1] - before(size - slack)) - beyond
+        if at[i] >= share * reach:
+            found.append((size, int(at[i]), reach))
+            beyond += int(at[i])
+            floor = size - slack
+    return found
+
 
-    In a source's histogram of an encoding, the most frequent length L is its limit when at least
-    ``least`` texts have a length in [L - slack, L] and they are at least ``share`` of all texts of
-    L - slack or more; the slack is for characters of several bytes that did not fit any more.
-    Encodings that show the same limit are all listed. The histogram has one row per source,
-    encoding and length, whatever the number of documents.
+def hidden_limits(lengths_: DataFrame, least: int = 5, share: float = 0.5, slack: int = 3) -> DataFrame:
+    """source, encoding, size_limit, n_at_limit: the lengths where most texts end that come so far.
+
+    Equal texts of a source count once, so that no copies make or hide a limit. Every length of a
+    source's histogram of an encoding is tested (see ``piles``); the slack is for characters of
+    several bytes that did not fit any more. A limit shows in other encodings too, less sharply: of
+    the piles that share most of their texts, the one with the most is kept, with others only if they
+    hold the same texts at the same length. The histogram has one row per source, encoding and
+    length, whatever the number of documents.
     """
-    long = lengths_.select("source", F.explode(F.create_map(*[x for e in ENCODINGS for x in (F.lit(e), F.col(e))])).alias("encoding", "size"))
-    histogram = long.where("size > 0").groupBy("source", "encoding", "size").agg(F.count(F.lit(1)).alias("n"))
-    top = histogram.groupBy("source", "encoding").agg(F.max(F.struct("n", "size")).alias("_top"))
-    near = histogram.join(top, ["source", "encoding"]).where(F.col("size") >= F.col("_top.size") - slack)
-    return near.groupBy("source", "encoding").agg(
-        F.max("_top.size").alias("size_limit"), F.sum("n").alias("_reach"), F.sum(F.when(F.col("size") <= F.col("_top.size"), F.col("n"))).alias("n_at_limit")
-    ).where((F.col("n_at_limit") >= least) & (F.col("n_at_limit") >= share * F.col("_reach"))).drop("_reach")
+    texts = lengths_.select("source", "digest", *ENCODINGS).where("chars > 0").dropDuplicates(["source", "digest"])
+    long = texts.select("source", F.explode(F.create_map(*[x for e in ENCODINGS for x in (F.lit(e), F.col(e))])).alias("encoding", "size"))
+    histogram = long.groupBy("source", "encoding", "size").agg(F.count(F.lit(1)).alias("n"))
+
+    def candidates(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("size")
+        rows = [
+            (frame["source"].iloc[0], e, *pile)
+            for e in ENCODINGS
+            for own in [frame[frame["encoding"] == e]]
+            for pile in piles(own["size"].to_numpy(), own["n"].to_numpy(), least, share, slack)
+        ]
+        return pd.DataFrame(rows, columns=["source", "encoding", "size_limit", "n", "reach"])
+
+    def sharpest(frame: pd.DataFrame) -> pd.DataFrame:
+        tried = frame["tried"].iloc[0]
+        at = np.array([[k in set(x) for k in range(len(tried))] for x in frame["stands"]])
+        n = frame["n"].to_numpy()
+        left = np.ones(len(n), bool)  # texts that stand at no kept limit
+        whole = n @ at
+        rows = []
+        while True:
+            new = (n * left) @ at
+            fit = (new >= least) & (new >= share * whole)
+            if not fit.any():
+                break
+            best = max(np.flatnonzero(fit), key=lambda k: (new[k], new[k] / tried[k]["reach"], -k))
+            for k, x in enumerate(tried):
+                if x["size_limit"] == tried[best]["size_limit"] and (at[:, k] == at[:, best]).all():
+                    rows.append((frame["source"].iloc[0], x["encoding"], x["size_limit"], int(whole[k])))
+            left &= ~at[:, best]
+        return pd.DataFrame(rows, columns=["source", "encoding", "size_limit", "n_at_limit"])
+
+    found = histogram.groupBy("source").applyInPandas(candidates, "source string, encoding string, size_limit bigint, n bigint, reach bigint")
+    tried = found.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("encoding", "size_limit", "reach"))).alias("tried")).withColumnRenamed("source", "_source")
+    size = lambda x: F.coalesce(*[F.when(x["encoding"] == e, F.col(e)) for e in ENCODINGS])
+    stands = F.filter(
+        F.transform("tried", lambda x, i: F.when(size(x).between(x["size_limit"] - slack, x["size_limit"]), i)), lambda i: i.isNotNull()
+    )
+    standing = texts.join(F.broadcast(tried), texts["source"].eqNullSafe(F.col("_source"))).select("source", "tried", stands.alias("stands")).where(F.size("stands") > 0)
+    patterns = standing.groupBy("source", "tried", "stands").agg(F.count(F.lit(1)).alias("n"))
+    return patterns.groupBy("source").applyInPandas(sharpest, "source string, encoding string, size_limit bigint, n_at_limit bigint")
 
 
 def judged(documents: DataFrame, slack: int = 3) -> DataFrame:
@@ -138,9 +216,10 @@ def judged(documents: DataFrame, slack: int = 3) -> DataFrame:
     their own without limits. Blank and null texts are complete. An empty table gives an empty result.
     """
     seen = inspected(documents)
-    limits = hidden_limits(seen, slack=slack).groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("encoding", "size_limit"))).alias("_limits"))
-    here = [F.when((F.col(e) <= F.col("_limits")[e]) & (F.col(e) >= F.col("_limits")[e] - slack), F.lit(e)) for e in ENCODINGS]
-    return seen.join(limits, "source", "left").select(
+    limits = hidden_limits(seen, slack=slack).groupBy("source").agg(F.collect_list(F.struct("encoding", "size_limit")).alias("_limits"))
+    stands = lambda e: F.exists("_limits", lambda x: (x["encoding"] == e) & F.col(e).between(x["size_limit"] - slack, x["size_limit"]))
+    here = [F.when(stands(e), F.lit(e)) for e in ENCODINGS]
+    return seen.join(F.broadcast(limits), "source", "left").select(
         "doc_id", "source", "ending", F.array_compact(F.array(*here)).alias("at_limit")
     ).withColumn("cut", (F.col("ending") == CUT) | ((F.col("ending") == EITHER) & (F.size("at_limit") > 0)))
 

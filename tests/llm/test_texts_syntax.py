@@ -241,6 +241,31 @@ def test_hidden_limits_decide_what_may_be_either(spark):
     assert truncation.judged(spark.createDataFrame([], DOCUMENT)).collect() == []
 
 
+def test_limits_beside_copies_and_other_limits(spark):
+    rng = random.Random(9)
+    words = lambda n: (" ".join(rng.choice(["alpha", "beta", "gamma,", "d\u00e9lta"]) for _ in range(n)) + " ") * 2
+    rows = []
+    for i in range(60):  # a third of the source are copies of one text; all long texts end at 800
+        rows.append((i, "Copied text.", "copies"))
+        rows.append((100 + i, words(rng.randrange(3, 40)) + "end.", "copies"))
+        rows.append((200 + i, words(120)[:797] + " 2." if i < 30 else words(rng.randrange(3, 40)) + "end.", "copies"))
+    for i in range(40):  # two limits, of which the longer one holds more texts
+        rows.append((300 + i, words(60)[:277] + " 2." if i < 15 else words(120)[:497] + " 2.", "two"))
+        rows.append((400 + i, words(rng.randrange(1, 15)) + "2.", "two"))
+    for i in range(40):  # one limit in characters and one in bytes
+        rows.append((500 + i, words(60)[:277] + " 2." if i < 20 else words(200).encode()[:997].decode("utf-8", "ignore") + " 2.", "mixed"))
+    rows += [(600 + i, "The same long text. " * 30, "posted") for i in range(30)] + [(700 + i, words(i + 1), "posted") for i in range(30)]
+    df = spark.createDataFrame(rows, DOCUMENT)
+    limits = sorted((r.source, r.encoding, r.size_limit, r.n_at_limit) for r in truncation.hidden_limits(truncation.inspected(df)).collect())
+    chars = [x for x in limits if x[1] == "chars"]
+    assert [x[:3] for x in chars] == [("copies", "chars", 800), ("mixed", "chars", 280), ("two", "chars", 280), ("two", "chars", 500)]
+    assert [x for x in limits if x[1] == "utf8"] == [("mixed", "utf8", 1000, 20)]
+    assert {x[:1] + x[2:] for x in limits} == {("copies", 800, 30), ("mixed", 280, 20), ("mixed", 1000, 20), ("two", 280, 15), ("two", 500, 25)}
+    cut = {r.doc_id for r in truncation.judged(df).where("cut AND ending = 1").collect()}
+    assert cut >= {200 + i for i in range(30)} | {300 + i for i in range(40)} | {500 + i for i in range(40)}
+    assert not cut & set(range(400, 440))
+
+
 # licenses
 
 
