@@ -1,9 +1,10 @@
 """Same or near-same records across splits.
 
-Equal records are a join of the recorded sets. Near-equal ones come from a segment join: within a
-part (see ``windows``) an evaluation source with m windows must share more than half of them with its
-partner, so at most k of them can be destroyed; k + 1 of its windows, the rarest in training, are its
-segments, and every training source that holds one of them, at any position, is a candidate. The
+Equal records are a join of the recorded sets. Near-equal ones come from a prefix filter in place of
+a segment join: within a part (see ``windows``) an evaluation source with m windows must share at
+least T of them with its partner; the m - T + 1 of its windows that are rarest in training, here
+called its segments, hold a shared one, and every training source that holds one of them, at any
+position, is a candidate. Positions cannot be used, as similar sets may come in any order. The
 candidates are counted exactly, since the similarity is one of sets: it forgives moved blocks, which
 an edit distance does not. The banded dynamic program over the token sequences therefore measures
 each pair's edits instead of deciding it; its band is doubled for a pair until the distance fits.
