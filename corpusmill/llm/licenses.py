@@ -40,6 +40,8 @@ _PLACED = re.compile(
     r"|\bgoverned by\b|\bsubject to\b|\bterms of\b|\bdistributed with \S+ -",
     re.IGNORECASE,
 )
+_SENTENCE_END = re.compile(r"[.;](?=\s+[A-Z]|\s*\Z)")
+_COPYRIGHT = re.compile(r"(?:copyright\b|\(c\)|\xa9|all rights reserved)", re.IGNORECASE)
 FILE_NAME = r"(?:^|/)(?:LICENSE|LICENCE|COPYING|UNLICENSE|License)(?:\.[^/.]*)?$"
 #: Chance that a statement names the true license: opening comment, license file, recorded license.
 RELIABILITY = {"header": 0.97, "file": 0.95, "recorded": 0.85}
@@ -50,21 +52,44 @@ def named(text: str) -> list[str]:
     return sorted(key for key, pattern in _NAMES.items() if pattern.search(text))
 
 
+def _named_behind(rest: str, after: str, prose: bool) -> set[str]:
+    """Licenses named in what follows a phrase on its line, with names that are wrapped to the next line.
+    In prose the next line counts as far as the sentence goes if the phrase's line names none."""
+    found = set(named(rest))
+    if _SENTENCE_END.search(rest) or not after.strip():
+        return found
+    found.update(key for key, pattern in _NAMES.items() if any(m.start() < len(rest) for m in pattern.finditer(f"{rest} {after}")))
+    return found or set(named(_SENTENCE_END.split(after)[0]) if prose else ())
+
+
 def stated_in_header(text: str) -> list[str]:
-    """Licenses under which the opening comment places the file."""
+    """Licenses under which the opening comment places the file; phrases and names may be wrapped."""
     found: set[str] = set()
     lines = comments.lines(comments.opening(text)[0])
-    for line, after in zip(lines, [*lines[1:], ""]):
-        for place in _PLACED.finditer(line):
-            rest = line[place.end():]
-            found.update(named(rest if rest.strip(" :") else after))
+    for line, after, later in zip(lines, [*lines[1:], ""], [*lines[2:], "", ""]):
+        for place in _PLACED.finditer(f"{line} {after}"):
+            if place.start() >= len(line):
+                continue
+            wrapped = place.end() - len(line) - 1
+            rest, following = (after[wrapped:], [later, ""]) if wrapped > 0 else (line[place.end():], [after, later])
+            if not rest.strip(" :"):
+                rest, *following = following
+            found.update(_named_behind(rest, following[0] if rest.strip() and following else "", place[0][-1] != ":" and place[0][0] != "@"))
     return sorted(found)
 
 
 def stated_in_file(text: str) -> list[str]:
-    """Licenses that a license file states in its title, the first line with text."""
-    title = next((line for line in text.lstrip("﻿").split("\n") if line.strip(" \t#=*-")), "")
-    return named(title)
+    """Licenses that a license file states in its title: the first lines with text that are no copyright
+    notice, up to a blank line or such a notice."""
+    title: list[str] = []
+    for line in text.lstrip("﻿").split("\n"):
+        bare = line.strip(" \t#=*-")
+        if _COPYRIGHT.match(bare) or not line.strip():
+            if title:
+                break
+        elif bare:
+            title.append(bare)
+    return named(" ".join(title))
 
 
 def statements(source_file: DataFrame) -> DataFrame:

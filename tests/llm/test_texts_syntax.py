@@ -281,6 +281,29 @@ def test_header_statements(text, expected):
     assert licenses.stated_in_header(text) == expected
 
 
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("# Licensed under the GNU General Public\n# License, version 2.\n", ["GPL-2.0"]), ("/*\n * This file is released\n * under the Apache License,\n * Version 2.0.\n */", ["Apache-2.0"]),
+        ("// Distributed under the terms of the\n// MIT license. Not for GPL 2 users.\n", ["MIT"]), ("# License: Apache License\n# Version 2.0\n", ["Apache-2.0"]),
+        ("# License: see COPYING\n# Reads MIT packages\n", []), ("# Licensed under the MIT license.\n# GPL 2 sources are not used.\n", ["MIT"]), ("# Provided under no terms.\n# MIT is a school\n", []), ("# Licensed under the GNU\n#\n# ISC is a body\n", []),
+    ],
+)
+def test_wrapped_header_statements(text, expected):
+    assert licenses.stated_in_header(text) == expected
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("\n      Apache License\n   Version 2.0, January 2004\n\nMIT is not meant.\n", ["Apache-2.0"]), ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright", ["GPL-3.0"]), ("MIT License\nCopyright (c) 2011 GPL 2 Fans\n", ["MIT"]),
+        ("Copyright (c) 2011 A B\nAll rights reserved.\n\nThe ISC License\n", ["ISC"]), ("MIT License\n===========\nor Apache License\nVersion 2.0\n", ["Apache-2.0", "MIT"]), ("Terms of use\n\nMIT\n", []), ("# ISC\n", ["ISC"]), ("", []),
+    ],
+)
+def test_license_titles(text, expected):
+    assert licenses.stated_in_file(text) == expected
+
+
 def test_licenses_agree_or_not(spark):
     mit, gpl, none, lic, legal = b"# License: MIT\n", b"// SPDX-License-Identifier: GPL-3.0\n", b"x\n", b"MIT License\n\nText about GPL v2", b"House rules\n"
     source = [("m", mit), ("g", gpl), ("x", none), ("L", lic), ("R", legal), ("n", None), ("x", none)]
