@@ -25,12 +25,14 @@ from corpusmill.runtime import cut
 ENCODINGS = ["chars", "utf8", "utf16", "html", "json", "crlf"]
 COMPLETE, EITHER, CUT = 0, 1, 2
 _CLOSING = "\"')]*_\u00bb\u201d\u2019"
-_SIGNATURE = re.compile(r"\n-- ?\n[^\n]{1,80}\Z")
+_SIGNATURE = re.compile(r"\n-- ?\n[^\n]+\Z")
 _LINK = re.compile(r"(?:\b\w+:\s*)?\b[a-z][a-z0-9+.-]*://[^\s<>]*\Z", re.IGNORECASE)
 _FULL_LINK = re.compile(r"[a-z][a-z0-9+.-]*://(?:[\w-]+\.)+[a-z]{2,}(?::\d+)?(?:/\S*[\w/])?\Z", re.IGNORECASE)
-_REMARK = re.compile(r"\s[(\[][^()\[\]]{1,120}[)\]]\Z")
+_REMARK = re.compile(r"\s[(\[][^()\[\]]+[)\]]\Z")
 _SMILEY = re.compile(r"(?:(?<!\S)(?:[:;=8xX]['^]?-?[)(DPpOo3/\\|*]|<3|\^_?\^)|[\U0001F000-\U0001FAFF\u2600-\u27BF\u2300-\u23FF\u2B00-\u2BFF\uFE0F\u200D]+)\Z")
 _STOP = ".!?\u3002\uff01\uff1f"
+_BEGIN = re.compile(r"\n[ \t]*(?:\n|[-*+>#]+ |\d+[.)] )|```")
+_SENTENCE = re.compile(rf"[{_STOP}][{re.escape(_CLOSING)}]*\s")
 
 
 def lengths(text: str) -> list[int]:
@@ -51,6 +53,15 @@ def lengths(text: str) -> list[int]:
     ]
 
 
+def _last_sentence(text: str, line: int) -> str:
+    """The last line, which begins at ``line``, with what its sentence has on the lines before, as far as
+    the paragraph, list item or code block goes."""
+    if "(" not in text:
+        return text[line:]
+    begin = max((m.end() for m in _BEGIN.finditer(text) if m.start() < line), default=0)
+    return text[max((m.end() for m in _SENTENCE.finditer(text, begin, line)), default=begin) :]
+
+
 def ending(text: str | None) -> int:
     """COMPLETE, EITHER or CUT by the end of the text; null and blank texts are complete."""
     text = (text or "").rstrip().rstrip("\u200b\ufeff")
@@ -94,7 +105,7 @@ def ending(text: str | None) -> int:
     last = text[text.rfind("\n") + 1 :]
     if last.replace("```", "").count("`") % 2:
         return CUT
-    sentence = last[-200:]
+    sentence = _last_sentence(text, len(text) - len(last))
     open_bracket = sentence.rfind("(")
     if (body[-2:-1].isdigit() and body[-1] == ".") or (open_bracket >= 0 and ")" not in sentence[open_bracket:] and sentence[open_bracket - 1 : open_bracket] not in (":", "-")):
         return max(verdict, EITHER)

@@ -215,6 +215,17 @@ def test_endings(text, verdict):
     assert truncation.ending(text) == verdict
 
 
+@pytest.mark.parametrize(
+    "text,verdict",
+    [
+        ("It is so (he says " + "word " * 60 + "so.", 1), ("It is so (he says\n" + "word " * 60 + "\nso.", 1), ("It was ( so.\nIt is so\nand so.", 0), ("Call f(\n\nIt is so.", 0), ("- call f(\n- it is so.", 0), ("It is so (he says) " + "word " * 60 + "so.", 0),
+        ("Done. (" + "word " * 40 + "end)", 0), ("See it.\n\n-- \n" + "ann " * 40 + "lee", 1), ("See i\n\n-- \n" + "ann " * 40 + "lee", 2),
+    ],
+)
+def test_endings_of_any_length(text, verdict):
+    assert truncation.ending(text) == verdict
+
+
 def test_lengths():
     import html
     import json
