@@ -1,13 +1,14 @@
 """Same or near-same records across splits.
 
-Equal records are a join of the recorded sets. Near-equal ones come from a prefix filter in place of
-a segment join: within a part (see ``windows``) an evaluation source with m windows must share at
-least T of them with its partner; the m - T + 1 of its windows that are rarest in training, here
-called its segments, hold a shared one, and every training source that holds one of them, at any
-position, is a candidate. Positions cannot be used, as similar sets may come in any order. The
-candidates are counted exactly, since the similarity is one of sets: it forgives moved blocks, which
-an edit distance does not. The banded dynamic program over the token sequences therefore measures
-each pair's edits instead of deciding it; its band is doubled for a pair until the distance fits.
+Equal records are a join of the recorded sets. For near-equal ones the required similarity is one of
+window sets, which forgives moved blocks, so no edit distance bounds it from above and no segment
+has to stay at its position. Candidates therefore come from rare windows (``neardup``, with an
+evaluation and a training side), which loses no pair. Each candidate is then decided by the segment
+join: the evaluation sequence is cut into k + 1 contiguous segments, which are looked for in the
+training sequence at the positions that k edits allow; where one matches, a banded dynamic program
+gives the edits up to k. An edit changes at most five windows of either set, so k = m / 15 edits of a
+set of m windows leave a similarity of at least one half, and pairs within the band are decided by
+their edits. Pairs beyond it, with moved blocks or larger insertions, are decided by counting windows.
 """
 
 from __future__ import annotations
@@ -21,45 +22,44 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import neardup
 from corpusmill.llm import windows as w
+from corpusmill.runtime import cut
 from corpusmill.sources.tables import owner_key
 
 TRAINING, EVALUATION = 1, 2
 SMALL = 300_000
 
 
-def segments_in_part(part: w.Part, threshold: float, block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b), a < b, of the part with one document in evaluation and the other in training, that
-    share enough of the part's windows; found by k + 1 segments of the one in evaluation."""
-    c = threshold / (1 + threshold)
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if len(part.ids) < 2:
-        return none
-    need = np.ceil(part.counts * c / (1 - c) - 1e-9).astype(np.int64)
-    segments = part.counts - need + 1
-    docs, lengths = part.lists()
-    lists = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-    trained = (part.sides[docs] & TRAINING) > 0
-    length = np.bincount(lists[trained], minlength=len(lengths))  # of each window in training
-    known = length[lists] > 0
-    docs, lists, trained = docs[known], lists[known], trained[known]
-    cut = np.flatnonzero((part.ranks(docs, length[lists]) < segments[docs]) & ((part.sides[docs] & EVALUATION) > 0))
-    train_docs, train_lists = docs[trained], lists[trained]
-    starts = np.searchsorted(train_lists, lists[cut])
-    n = length[lists[cut]]
-    keys = np.zeros(0, np.uint64)
-    groups = np.cumsum(n) // block
-    for g in np.unique(groups):
-        own = groups == g
-        size = n[own]
-        x = np.repeat(docs[cut[own]], size).astype(np.int64)
-        y = train_docs[np.repeat(starts[own] - np.cumsum(size) + size, size) + np.arange(size.sum())].astype(np.int64)
-        small, large = np.minimum(part.sizes[x], part.sizes[y]), np.maximum(part.sizes[x], part.sizes[y])
-        ok = (x != y) & (small >= threshold * large - 1e-9)
-        lo, hi = np.minimum(x, y)[ok], np.maximum(x, y)[ok]
-        keys = np.unique(np.concatenate([keys, lo.astype(np.uint64) << np.uint64(32) | hi.astype(np.uint64)]))
-    a, b = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    ok = part.overlaps(a, b) >= (part.counts[a] + part.counts[b]) * c - 1e-9
-    return a[ok], b[ok]
+def allowed_edits(windows: int, threshold: float) -> int:
+    """Edits of a set of so many windows after which the similarity is still at least the threshold."""
+    return int(windows * (1 - threshold) / (w.WIDTH * (1 + threshold)) + 1e-9)
+
+
+def segment_match(held: np.ndarray, trained: np.ndarray, k: int) -> bool:
+    """Whether one of the k + 1 segments of ``held`` stands in ``trained`` at a position that k edits
+    allow. If none does, the sequences are more than k edits apart. Segments are compared by hash."""
+    if abs(len(held) - len(trained)) > k:
+        return False
+    length = len(held) // (k + 1)
+    if not length:
+        return True
+    here, there = w.rolling(held, length), w.rolling(trained, length)
+    starts = np.arange(k + 1) * length
+    position = starts[:, None] + np.arange(-k, k + 1)
+    inside = (position >= 0) & (position < len(there))
+    return bool(len(there)) and bool(((there[np.clip(position, 0, len(there) - 1)] == here[starts][:, None]) & inside).any())
+
+
+def decide(held: np.ndarray, trained: np.ndarray, threshold: float) -> tuple[float, int | None]:
+    """(similarity, edits) of two token sequences; edits where they decided that the pair is similar,
+    null where the windows were counted. Decided by edits, the similarity is the least they leave."""
+    x, y = w.windows(held), w.windows(trained)
+    k = allowed_edits(max(len(x), len(y)), threshold)
+    edits = banded_distance(held, trained, k) if segment_match(held, trained, k) else None
+    if edits is not None and edits <= k:
+        least = (max(len(x), len(y)) - w.WIDTH * edits) / (max(len(x), len(y)) + w.WIDTH * edits)
+        return max(least, threshold), edits
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / max(len(x) + len(y) - common, 1), None
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int | None:
@@ -125,14 +125,40 @@ def _beside(big: DataFrame, few: DataFrame, key: str) -> DataFrame:
     return big.join(F.broadcast(few) if few.limit(SMALL + 1).count() <= SMALL else few, key)
 
 
-def near_overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5, block: int = neardup.BLOCK) -> DataFrame:
-    """set_name, hash_a, hash_b, similarity: near-equal sources of which one has results in training and
-    the other in ``set_name`` (not training)."""
+def decided_pairs(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5, split: int = neardup.SPLIT, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity, edits) of similar window sets across the sides, and (a, hash): their sources."""
     side = F.when(F.col("set_name") == "training", TRAINING).otherwise(EVALUATION)
     sides = sets.groupBy("hash").agg(F.bit_or(side).cast("tinyint").alias("side"))
-    tagged = _beside(source_file.select("hash", "source"), sides, "hash")
-    pairs, members = neardup.similar_sets(tagged, threshold, lambda part: segments_in_part(part, threshold), source_file.select("hash").count(), block)
-    expanded = neardup.expand(pairs, members)
+    sources = source_file.select("hash", "source")
+    buckets = buckets or neardup.n_buckets(sources)
+    docs = cut(neardup.arranged_documents(_beside(sources, sides, "hash"), threshold, buckets))
+    heads = docs.select("id", "side", F.array_min("hashes").alias("hash")).groupBy("id").agg(F.bit_or("side").alias("side"), F.min("hash").alias("hash"))
+    found = neardup.candidates(docs, threshold, buckets, split)
+    ends = cut(found.join(heads.toDF("a", "side_a", "hash_a"), "a").join(heads.toDF("b", "side_b", "hash_b"), "b"))
+    wanted = ends.select(F.explode(F.array("hash_a", "hash_b")).alias("hash")).distinct()
+    texts = _beside(sources, wanted, "hash").dropDuplicates(["hash"])
+    met = ends.join(texts.toDF("hash_a", "source_a"), "hash_a").join(texts.toDF("hash_b", "source_b"), "hash_b")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for side_a, x, y in zip(frame["side_a"], frame["source_a"], frame["source_b"]):
+                x, y = w.token_hashes(x), w.token_hashes(y)
+                rows.append(decide(x, y, threshold) if side_a & EVALUATION else decide(y, x, threshold))
+            out = pd.DataFrame(rows, columns=["similarity", "edits"])
+            out["a"], out["b"], out["edits"] = frame["a"].to_numpy(), frame["b"].to_numpy(), out["edits"].astype("Int64")
+            yield out[["a", "b", "similarity", "edits"]]
+
+    pairs = met.select("a", "b", "side_a", "source_a", "source_b").mapInPandas(run, "a bigint, b bigint, similarity double, edits bigint")
+    members = docs.select(F.col("id").alias("a"), F.explode("hashes").alias("hash")).distinct()
+    return pairs.where(F.col("similarity") >= threshold), members
+
+
+def near_overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5, split: int = neardup.SPLIT, buckets: int | None = None) -> DataFrame:
+    """set_name, hash_a, hash_b, similarity: near-equal sources of which one has results in training and
+    the other in ``set_name`` (not training)."""
+    pairs, members = decided_pairs(source_file, sets, threshold, split, buckets)
+    expanded = neardup.expand(pairs.drop("edits"), members)
     train = sets.where("set_name = 'training'").select("hash")
     held = sets.where("set_name <> 'training'")
     found = None
@@ -142,7 +168,7 @@ def near_overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.
     return found.distinct()
 
 
-def overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5, block: int = neardup.BLOCK) -> DataFrame:
+def overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5, split: int = neardup.SPLIT, buckets: int | None = None) -> DataFrame:
     """set_name, hash_a <= hash_b, similarity: all overlaps of training with each other set.
 
     ``sets``: distinct (hash, set_name) without nulls. A source with results in training and in
@@ -152,7 +178,7 @@ def overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5, bl
     train = sets.where("set_name = 'training'").select("hash")
     both = sets.where("set_name <> 'training'").join(train, "hash", "left_semi").join(source_file.select("hash").distinct(), "hash", "left_semi")
     exact = both.select("set_name", F.col("hash").alias("hash_a"), F.col("hash").alias("hash_b"), F.lit(1.0).alias("similarity"))
-    return exact.unionByName(near_overlaps(source_file, sets, threshold, block))
+    return exact.unionByName(near_overlaps(source_file, sets, threshold, split, buckets))
 
 
 def edits(found: DataFrame, source_file: DataFrame, band: int = 64) -> DataFrame:

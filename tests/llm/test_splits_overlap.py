@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,23 +58,80 @@ def test_pairs_equal_brute_force(spark, corpus, threshold):
     assert set(pairs) == brute_pairs(corpus, threshold)
 
 
-def test_pairs_equal_brute_force_in_pairs_of_blocks(spark, corpus):
-    df = spark.createDataFrame(corpus, "hash string, source binary").repartition(16)
-    pairs = [(r.hash_a, r.hash_b) for r in neardup.similar_sources(df, 0.5, block=40).collect()]
-    assert len(pairs) == len(set(pairs)) and set(pairs) == brute_pairs(corpus, 0.5)
-
-
-def test_pairs_in_many_blocks(spark, corpus):
-    lists = [np.array(sorted(random.Random(i).sample(range(50), 7))) for i in range(60)]
-    docs = np.concatenate(lists)
-    starts = np.arange(60) * 7
-    keys, counts = neardup.merge_short_lists(docs, starts, np.full(60, 7), 50, block=40)
-    want = {}
-    for x in lists:
-        for i in range(7):
-            for j in range(i + 1, 7):
-                want[int(x[i]), int(x[j])] = want.get((int(x[i]), int(x[j])), 0) + 1
-    assert {(int(k) >> 32, int(k) & 0xFFFFFFFF): int(c) for k, c in zip(keys, counts)} == want
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_pairs_of_divided_lists_and_packs(spark, corpus, threshold, monkeypatch):
+    monkeypatch.setattr(neardup, "RANGE", 4)
+    monkeypatch.setattr(windows, "PACK", 7)
+    df = spark.createDataFrame(corpus, "hash string, source binary").repartition(5)
+    docs = neardup.arranged_documents(df, threshold, 3)
+    assert docs.count() > 0
+    pairs = [(r.hash_a, r.hash_b) for r in neardup.similar_sources(df, threshold, split=2, buckets=3).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute_pairs(corpus, threshold)
+
+
+def in_memory(rows, threshold, split=10**9, block=1000):
+    """The search without a session: pairs of ids that a bucket finds, ranges included."""
+    packed = windows._Pack()
+    for key, source in rows:
+        packed.add(key, 3, windows.windows(windows.token_hashes(source)))
+    batches = list(windows.count(iter([packed.rows(0, 1)])))
+    docs = neardup._arranged(threshold)(pa.Table.from_batches(batches))
+    live = docs.filter(pa.compute.is_valid(docs.column("blob"))).to_batches()
+    out = list(neardup._merged(threshold, split, block)(neardup._postings(threshold)(iter(live))))
+    far = [b.filter(pa.compute.is_valid(b.column("ranges"))) for b in out]
+    near = [b.filter(pa.compute.is_null(b.column("ranges"))) for b in out]
+    sums = {}
+    for b in near + list(neardup._ranges(threshold, block)(iter(far))):
+        for r in b.to_pylist():
+            sums[r["a"], r["b"]] = (sums.get((r["a"], r["b"]), (0, 0))[0] + r["n"], r["times"])
+    return {k for k, (n, times) in sums.items() if n >= times}, sum(b.num_rows for b in far)
+
+
+def test_lists_divided_into_ranges_give_the_same_pairs(monkeypatch):
+    monkeypatch.setattr(neardup, "RANGE", 5)
+    rng = random.Random(15)
+    base = text(rng, 60).split()
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(60)] = rng.choice(WORDS)
+        rows.append((str(i), " ".join(words[: rng.randrange(25, 61)]).encode()))
+    whole, none = in_memory(rows, 0.5)
+    divided, some = in_memory(rows, 0.5, split=3, block=7)
+    assert whole == divided and not none and some > 10
+
+
+def test_one_header_in_many_small_files_stays_small():
+    """Windows that most documents share cost neither memory nor pairs unless the rest is shared, too."""
+    tracemalloc = pytest.importorskip("tracemalloc")
+    rng = random.Random(16)
+    header = text(rng, 24)
+    vocabulary = [f"v{i}" for i in range(60_000)]
+    packed, batches = [windows._Pack() for _ in range(13)], []
+    for i in range(50_000):
+        source = f"{header} {' '.join(rng.choices(vocabulary, k=24))}".encode()
+        packed[i // 4000].add(str(i), 3, windows.windows(windows.token_hashes(source)))
+    batches = [p.rows(i, 1) for i, p in enumerate(packed)]
+    tracemalloc.start()
+    counted = pa.Table.from_batches(list(windows.count(iter(batches))))
+    found = 0
+    blobs = []
+    for pack in range(13):
+        own = counted.filter(pa.compute.equal(counted.column("pack"), pack))
+        docs = neardup._arranged(0.5)(own)
+        blobs += neardup._postings(0.5)(iter(docs.filter(pa.compute.is_valid(docs.column("blob"))).to_batches()))
+    for b in neardup._merged(0.5, neardup.SPLIT, neardup.BLOCK)(iter(blobs)):
+        found += b.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30 and found < 50_000
+
+
+def test_squeezed_arrays_come_back():
+    rng = np.random.default_rng(3)
+    arrays = [rng.integers(0, top, n, dtype=np.uint64) for top, n in ((200, 5), (60_000, 0), (1 << 31, 77), (1 << 63, 3))]
+    assert all((x == y).all() and len(x) == len(y) for x, y in zip(arrays, windows.unsqueeze(windows.squeeze(*arrays))))
 
 
 def test_pairs_of_nothing(spark):
@@ -137,7 +196,7 @@ def test_overlaps_equal_brute_force(spark, corpus):
     sets = sorted({(h, rng.choice(["training", "training", "validation", "test"])) for h in hashes for _ in range(rng.choice([0, 1, 1, 2]))})
     source = spark.createDataFrame(corpus, "hash string, source binary").withColumn("side", F.lit("clash"))
     df = spark.createDataFrame(sets, "hash string, set_name string")
-    blocks = overlap.overlaps(source.drop("side").repartition(9), df, block=30)
+    blocks = overlap.overlaps(source.drop("side").repartition(9), df, split=2, buckets=3)
     found = overlap.overlaps(source.drop("side"), df)
     assert {(r.set_name, r.hash_a, r.hash_b) for r in blocks.collect()} == brute_overlaps(corpus, sets)
     got = [(r.set_name, r.hash_a, r.hash_b) for r in found.collect()]
@@ -151,6 +210,50 @@ def test_overlaps_of_nothing(spark):
     assert overlap.overlaps(source, sets).collect() == []
 
 
+def test_segments_and_edits_decide(spark):
+    rng = random.Random(17)
+    words = text(rng, 300).split()
+    edited = list(words)
+    for i in (20, 90, 200):
+        edited[i] = "changed"
+    moved = words[150:] + words[:150]
+    hashes = lambda x: windows.token_hashes(" ".join(x).encode())
+    similarity, edits = overlap.decide(hashes(words), hashes(edited), 0.5)
+    assert edits == 3 and 0.5 <= similarity <= len(shingles(" ".join(words).encode()) & shingles(" ".join(edited).encode())) / len(shingles(" ".join(words).encode()) | shingles(" ".join(edited).encode()))
+    similarity, edits = overlap.decide(hashes(words), hashes(moved), 0.5)
+    assert edits is None and similarity > 0.9
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_segments_lose_no_pair_within_their_edits(seed):
+    rng = random.Random(seed)
+    for _ in range(200):
+        a = [rng.randrange(5) for _ in range(rng.randrange(1, 40))]
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = [rng.randrange(5)] * rng.randrange(2)
+        d = plain_distance(a, b)
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        for k in range(d, 7):
+            assert overlap.segment_match(x, y, k)
+
+
+def test_edits_within_the_bound_leave_the_similarity():
+    rng = random.Random(18)
+    for _ in range(200):
+        words = text(rng, rng.randrange(20, 120)).split()
+        edited = list(words)
+        for _ in range(rng.randrange(9)):
+            i = rng.randrange(len(edited))
+            edited[i : i + 1] = rng.choice([[], [rng.choice(WORDS)], [edited[i], rng.choice(WORDS)]])
+        x, y = shingles(" ".join(words).encode()), shingles(" ".join(edited).encode())
+        hashes = [windows.token_hashes(" ".join(t).encode()) for t in (words, edited)]
+        similarity, edits = overlap.decide(*hashes, 0.5)
+        exact = len(x & y) / len(x | y)
+        assert (similarity >= 0.5) == (exact >= 0.5) and (edits is None) <= (similarity == exact)
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
