@@ -310,7 +310,7 @@ def arranged_documents(sources: DataFrame, threshold: float, buckets: int) -> Da
     side = F.col("side") if "side" in sources.columns else F.lit(3)
     sent = sources.select("hash", "source", side.cast("tinyint").alias("side")).mapInArrow(w.send(buckets), w.SENT_DDL)
     counted = sent.repartitionById(buckets, F.col("target")).mapInArrow(w.count, w.SENT_DDL)
-    return counted.groupBy("pack").applyInArrow(_arranged(threshold), DOCS)
+    return counted.repartition(buckets, "pack").groupBy("pack").applyInArrow(_arranged(threshold), DOCS)
 
 
 def candidates(docs: DataFrame, threshold: float, buckets: int, split: int = SPLIT, block: int = BLOCK) -> DataFrame:

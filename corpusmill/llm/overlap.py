@@ -158,7 +158,7 @@ def near_overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.
     """set_name, hash_a, hash_b, similarity: near-equal sources of which one has results in training and
     the other in ``set_name`` (not training)."""
     pairs, members = decided_pairs(source_file, sets, threshold, split, buckets)
-    expanded = neardup.expand(pairs.drop("edits"), members)
+    expanded = neardup.expand(cut(pairs.drop("edits")), members)
     train = sets.where("set_name = 'training'").select("hash")
     held = sets.where("set_name <> 'training'")
     found = None

@@ -69,9 +69,15 @@ def rolling(tokens: np.ndarray, width: int) -> np.ndarray:
     return h
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorts in place."""
+    values.sort()
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def windows(tokens: np.ndarray) -> np.ndarray:
     """Sorted distinct hashes of the runs of five tokens; empty below five tokens."""
-    return np.unique(rolling(tokens, WIDTH))
+    return distinct(rolling(tokens, WIDTH))
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
@@ -139,7 +145,7 @@ class _Pack:
         side = np.array(self.sides, np.uint16)
         every = np.concatenate(self.sets)
         full = (every & np.uint64(0xFFFFFFFF)) % np.uint64(buckets) << np.uint64(KEY) | every >> np.uint64(64 - KEY)
-        full = np.unique(full << np.uint64(16) | np.repeat(np.arange(len(size), dtype=np.uint64), size))
+        full = distinct(full << np.uint64(16) | np.repeat(np.arange(len(size), dtype=np.uint64), size))
         doc, full = (full & np.uint64(0xFFFF)).astype(np.uint16), full >> np.uint64(16)
         begins = np.flatnonzero(np.append(True, full[1:] != full[:-1]))
         length = np.diff(np.append(begins, len(full)))
