@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -23,13 +26,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Rows that are broadcast at most; counted before.
+SMALL = 300_000
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset and all tasks run in
+    this process, as in tests. Raises on a cluster without one, as no other folder is shared."""
     context = spark.sparkContext
     known = context.getCheckpointDir()
     if known:
         return known
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusmill-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="corpusmill-")
+        atexit.register(shutil.rmtree, folder, True)
+    context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -37,3 +51,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared folder and drops its lineage; survives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def beside(big: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner", most: int = SMALL) -> DataFrame:
+    """Join of ``big`` with ``few``, which is broadcast only where a count proves that it has at most
+    ``most`` rows; beyond that both are shuffled. ``few`` should be cheap to count."""
+    return big.join(F.broadcast(few) if few.limit(most + 1).count() <= most else few, on, how)
