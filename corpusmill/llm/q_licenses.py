@@ -17,7 +17,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_posteriors(spark: SparkSession, d: str) -> DataFrame:
-    return _files(spark, d).select("owner", "name", "hash", "path", "license_id", "probability")
+    return _files(spark, d).select("owner", "name", "hash", "path", "license_id", "probable", "probability", "agreement")
 
 
 def p6_repositories(spark: SparkSession, d: str) -> DataFrame:

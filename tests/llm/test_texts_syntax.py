@@ -315,6 +315,54 @@ def test_license_titles(text, expected):
     assert licenses.stated_in_file(text) == expected
 
 
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("Copyright (c) 2011 A B\n\nPermission is hereby granted, free of charge, to\nany person obtaining a copy of this software", ["MIT"]),
+        ("Copyright 2012 A\n" * 400 + "\nRedistribution and use in source\nand binary forms, with or without\n", ["BSD-2-Clause"]),
+        ("Redistribution and use in source and binary forms are permitted.\n\nNeither the name may be used to endorse or\npromote products derived from it.", ["BSD-3-Clause"]),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"]), ("All rights reserved. Permission is not granted.", []),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted", ["ISC"]),
+    ],
+)
+def test_license_bodies(text, expected):
+    assert licenses.stated_in_file(text) == expected
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ('{\n  "name": "x",\n  "license": "MIT"\n}', ["MIT"]), ("setup(name='x', license='BSD 3-Clause', version='1')", ["BSD-3-Clause"]), ('[package]\nlicense = "MIT OR Apache-2.0"\n', ["Apache-2.0", "MIT"]),
+        ("<project><licenses><license><name>Apache License,\n Version 2.0</name></license></licenses></project>", ["Apache-2.0"]), ('{"keywords": ["mit"]}', []), ("", []),
+        ("classifiers=['License :: OSI Approved :: ISC License (ISCL)']", ["ISC"]),
+    ],
+)
+def test_manifests(text, expected):
+    assert licenses.stated_in_manifest(text) == expected
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("# Tool\nworks with MIT code\n\n## License\n\nMozilla Public License 2.0, see LICENSE.\n\n## Other\nGPL 2\n", ["MPL-2.0"]), ("Tool\n====\n\nLicense\n-------\nISC\n", ["ISC"]), ("# Tool\nMIT\n", []), ("", []), ("# Licensees\nMIT\n", []),
+    ],
+)
+def test_readmes(text, expected):
+    assert licenses.stated_in_readme(text) == expected
+
+
+def test_manifests_and_readmes_move_the_posterior_alone(spark):
+    source = [("x", b"x = 1\n"), ("p", b'{"license": "ISC"}'), ("r", b"# A\n\n## License\nMIT\n"), ("L", b"MIT License\n")]
+    files = [("a", "one", "x", "a.py"), ("a", "one", "p", "package.json"), ("b", "two", "x", "a.py"), ("b", "two", "L", "LICENSE"), ("b", "two", "r", "README.md"), ("c", "three", "x", "a.py"), ("c", "three", "L", "LICENSE"), ("c", "three", "p", "package.json")]
+    args = spark.createDataFrame(files, MAPPING), spark.createDataFrame(source, "hash string, source binary"), spark.createDataFrame([], "owner string, name string, license string")
+    rows = licenses.file_licenses(*args, spark.createDataFrame([(k, k) for k in licenses.NAMES], "license_id string, title string")).where("path = 'a.py'").collect()
+    got = {r.name: r for r in rows}
+    assert {n: (r.license_id, r.probable) for n, r in got.items()} == {"one": ("unknown", "ISC"), "two": ("MIT", "MIT"), "three": ("MIT", "MIT")}
+    assert got["two"].probability > got["three"].probability and got["two"].agreement > 0.9
+    homes = {r.name: (r.license_id, r.probable) for r in licenses.repository_licenses(*args).collect()}
+    assert homes == {"one": ("unknown", "ISC"), "two": ("MIT", "MIT"), "three": ("MIT", "MIT")}
+
+
 def test_licenses_agree_or_not(spark):
     mit, gpl, none, lic, legal = b"# License: MIT\n", b"// SPDX-License-Identifier: GPL-3.0\n", b"x\n", b"MIT License\n\nText about GPL v2", b"House rules\n"
     source = [("m", mit), ("g", gpl), ("x", none), ("L", lic), ("R", legal), ("n", None), ("x", none)]
