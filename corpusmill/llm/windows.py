@@ -36,7 +36,9 @@ _TOKEN = re.compile(r"[A-Za-z0-9_]+|\S")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Hashes(dict):
+class Hashes(dict):
+    """Hash of a token; those met are remembered."""
+
     def __missing__(self, token: str) -> int:
         if len(self) > 400_000:
             self.clear()
@@ -44,7 +46,7 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
+_hashes = Hashes()
 
 
 def token_hashes(source: bytes | None) -> np.ndarray:

@@ -418,3 +418,51 @@ def test_grammar_reuse():
     assert out["rules"][0] > 0 and out["start"][0] + 2 * out["rules"][0] < 40 and out["reuse"][0] > 5
     alone = grammar.infer([repeated])
     assert alone["start"][0] == out["start"][0] and alone["rules"][0] == out["rules"][0]
+
+
+def test_rules_expand_to_the_same_hash_in_every_document():
+    from corpusmill.llm import grammar
+
+    rng = np.random.default_rng(5)
+    phrase = rng.integers(1, 1 << 60, 40).astype(np.uint64)
+    noise = [rng.integers(1, 1 << 60, 200).astype(np.uint64) for _ in range(3)]
+    documents = [np.concatenate([phrase, noise[0], phrase]), np.concatenate([noise[1], phrase, noise[2][:7], phrase]), noise[2]]
+    found = grammar.infer(documents)
+    rules = [set(found["rule"][found["rule_of"] == i].tolist()) for i in range(3)]
+    assert rules[0] & rules[1] and not rules[0] & rules[2]
+    whole = np.uint64(0)
+    for x in phrase:
+        whole = whole * grammar._BASE + x
+    assert int(whole) in rules[0] & rules[1]
+    samples = grammar.sampled(found, 5)
+    assert [len(x) for x in samples] == [5, 5, 5] and all((np.diff(x.astype(object)) > 0).all() for x in samples)
+
+
+def _program(seed, n=60):
+    rng = random.Random(seed)
+    return "".join(f"def {rng.choice(WORDS)}{i}(a):\n    return {rng.choice(WORDS)}({rng.choice(WORDS)}, a) + {rng.randrange(900)}\n" for i in range(n))
+
+
+def test_rules_shared_across_repositories_tell_libraries(spark):
+    library, changed, own = _program(1), _program(1).replace("(a):", "(a): # x", 1).replace("return", "return not", 1), _program(2)
+    source = [("l", library.encode()), ("c", changed.encode()), ("o", own.encode()), ("f", _program(3).encode())]
+    files = [
+        ("u", "one", "l", "packages/thing/h.py"), ("v", "two", "c", "libs/thing/h.py"), ("u", "one", "o", "packages/own/h.py"),
+        ("w", "fork", "f", "packages/f/h.py"), ("x", "fork", "f", "packages/f/h.py"), ("u", "one", "l", "lib/loose/h.py"),
+    ]
+    got = {(r.owner, r.path): r.reason for r in provenance.judged_files(spark.createDataFrame(files, MAPPING), spark.createDataFrame(source, "hash string, source binary")).collect()}
+    assert {k for k, v in got.items() if v == "vendored"} == {("u", "packages/thing/h.py"), ("v", "libs/thing/h.py")}
+
+
+def test_a_notice_counts_where_the_grammar_shows_a_generator(spark):
+    notice = "# Code generated by tool v2; do not edit.\n"
+    table = "".join(f"    self.field_{i} = reader.read_value(stream, {i % 3})\n" for i in range(80))
+    source = [("g", (notice + "def read(self, reader, stream):\n" + table).encode()), ("h", (notice + _program(4)).encode()), ("s", (notice + "x = f(1)\n").encode()), ("n", ("def read(self, reader, stream):\n" + table).encode())]
+    files = [("u", "r", h, f"{h}.py") for h in "ghsn"]
+    got = {r.hash: r.reason for r in provenance.judged_files(spark.createDataFrame(files, MAPPING), spark.createDataFrame(source, "hash string, source binary")).collect()}
+    assert got["g"] == "generated" and got["s"] == "generated" and got["n"] is None
+
+
+def test_banners_below_a_license_text():
+    assert provenance.banner_of(["Copyright 2011 X", "Licensed under terms", "of no one", "", "somelib v1.2.3", "more"]) == ("somelib", "1.2.3")
+    assert provenance.banner_of(["a", "b", "c", "as in", "somelib v1.2.3"]) == (None, None) and provenance.banner_of([]) == (None, None)
