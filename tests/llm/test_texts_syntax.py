@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, comments, licenses, passages, syntax, truncation
-from corpusmill.llm.parsers import java8, javascript, python3
+from corpusmill.parsers import java8, javascript, python3
 
 MAPPING = "owner string, name string, hash string, path string"
 DOCUMENT = "doc_id bigint, text string, source string"
@@ -111,10 +111,11 @@ def test_all_errors_are_kept():
     assert len(javascript.check(b"a b;\nc d;\ne();")) == 2
 
 
-def test_deep_nesting_ends():
-    for check in (python3.check, javascript.check, java8.check):
-        check(b"(" * 20_000 + b")" * 20_000)
-        check(b"[" * 3000)
+def test_deep_nesting_parses(spark):
+    source = [("j", b"class A { int x = " + b"(" * 1500 + b"1" + b")" * 1500 + b"; }"), ("s", b"x = " + b"[" * 1500 + b"]" * 1500), ("p", b"x = " + b"(" * 201 + b"1" + b")" * 201), ("q", b"x = " + b"(" * 200 + b"1" + b")" * 200)]
+    files = spark.createDataFrame([("o", "r", "j", "a.java"), ("o", "r", "s", "a.js"), ("o", "r", "p", "a.py"), ("o", "r", "q", "b.py")], MAPPING)
+    found = syntax.broken_files(files, spark.createDataFrame(source, "hash string, source binary"))
+    assert [(r.path, r.cause) for r in found.collect()] == [("a.py", "too many nested parentheses")]
 
 
 def test_files_that_do_not_parse(spark):
