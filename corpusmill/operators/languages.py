@@ -1,7 +1,8 @@
 """Lexing and checking source code, one row per source in, rows of tokens or a summary out.
 
-A language is passed by name; workers look it up in ``LANGUAGES``, where further ones, or better
-checks, can be registered.
+A language is passed by name; workers look it up in ``LANGUAGES``, where further ones, or other
+checks, can be registered. Python is checked by the standard library, Java and JavaScript by the
+recursive-descent parsers of ``corpusmill.parsers``.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from corpusmill.parsers import java8, javascript
+
 
 @dataclass(frozen=True)
 class Token:
@@ -36,13 +39,12 @@ class Language:
     name: str
     extensions: tuple[str, ...]
     tokenise: Callable[[bytes], list[Token]]
-    check: Callable[[bytes], bool] | None
+    check: Callable[[bytes], bool]
     entry: Callable[[Token], str]
     physical: Callable[[Token], bool]
 
-    def parses(self, source: bytes, tokens: list[Token] | None = None) -> bool:
-        """By the language's own check, or where it has none by the tokens: all known, brackets in pairs."""
-        return self.check(source) if self.check else balanced(self.tokenise(source) if tokens is None else tokens)
+    def parses(self, source: bytes) -> bool:
+        return self.check(source)
 
     def summarise(self, source: bytes, tokens: list[Token] | None = None) -> tuple[int, int]:
         """(lines that hold a token, tokens)."""
@@ -57,10 +59,22 @@ class Language:
         return len(lines), len(tokens)
 
 
+def _encoded(source: bytes | str) -> bytes:
+    return source.encode("utf-8", "surrogatepass") if isinstance(source, str) else bytes(source)
+
+
 def text_of(source: bytes | str) -> str:
     return source if isinstance(source, str) else bytes(source).decode("utf-8", "replace")
 
 
+_UNESCAPE = re.compile(r"\\u(?:([0-9a-fA-F]{4})|\{([0-9a-fA-F]+)\})")
+
+
+def unescaped(text: str) -> str:
+    """Text with \\uXXXX and \\u{X..} as their characters; ValueError beyond the last code point."""
+    return _UNESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)), text)
+
+
 # Python
 
 _EXTRANEOUS = {"ENCODING", "ENDMARKER", "NL", "COMMENT", "ERRORTOKEN"}
@@ -188,26 +202,60 @@ def java_tokens(source: bytes | str) -> list[Token]:
 # JavaScript
 
 _JS_WORDS = (
-    "break case catch class const continue debugger default delete do else enum export extends finally for function if import in instanceof let new return super static "
+    "break case catch class const continue debugger default delete do else enum export extends finally for function if import in instanceof let new return super "
     "switch this throw try typeof var void while with yield"
 ).split()
 _JS_MARKS = (
     ">>>= ... === !== **= <<= >>= >>> => == != <= >= && || ++ -- += -= *= /= %= &= |= ^= << >> ** { } ( ) [ ] . ; , < > + - * / % & | ^ ! ~ ? : =".split()
 )
 _js_marks = "|".join(re.escape(x) for x in _JS_MARKS)
+_UNICODE = r"\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\})"
 _JS = re.compile(
-    rf"(?P<skip>\s+|/\*.*?\*/|//[^\n]*)|(?P<String>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|(?P<Template>`(?:[^`\\]|\\.)*`)"
-    rf"|(?P<Numeric>0[xXbBoO][\da-fA-F]+|(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)|(?P<word>[^\W\d][\w$]*|\$[\w$]*)|(?P<Punctuator>{_js_marks})|(?P<ERROR>.)",
+    rf"(?P<skip>[\s\ufeff]+|/\*.*?\*/|//[^\n]*)|(?P<String>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')"
+    rf"|(?P<Numeric>0[xXbBoO][\da-fA-F]+|(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)|(?P<word>(?:[^\W\d]|\$|{_UNICODE})(?:[\w$\u200c\u200d]|{_UNICODE})*)"
+    rf"|(?P<Punctuator>{_js_marks})|(?P<ERROR>.)",
     re.DOTALL,
 )
+_JS_REGEXP = re.compile(r"/(?![*/])(?:[^/\\\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[\w$]*")
+_JS_TEMPLATE = re.compile(r"[`}](?:[^`\\$]|\\.|\$(?!\{))*(?:`|\$\{)", re.DOTALL)
+#: Words behind which a value ends; behind all others an expression begins.
+_JS_VALUES = {"this", "super", "null", "true", "false"}
+_JS_HEADS = {"if", "while", "for", "with"}
 
 
-def _js_kind(m: re.Match) -> str | None:
-    if m.lastgroup == "skip":
-        return None
-    if m.lastgroup != "word":
-        return m.lastgroup
-    return {"true": "Boolean", "false": "Boolean", "null": "Null"}.get(m[0]) or ("Keyword" if m[0] in _JS_WORDS else "Identifier")
+def _js_word(value: str) -> str:
+    plain = unescaped(value) if "\\" in value else value
+    return {"true": "Boolean", "false": "Boolean", "null": "Null"}.get(plain) or ("Keyword" if plain in _JS_WORDS else "Identifier")
+
+
+class _Scanner:
+    """Where a slash or a brace stands: what came before, and what the open brackets belong to."""
+
+    def __init__(self) -> None:
+        self.expects_value = True
+        self.open: list[tuple[str, bool]] = []  # bracket, and whether a value is expected behind its end
+        self.last = ""
+
+    def token(self, kind: str, value: str) -> None:
+        if kind == "Punctuator":
+            if value in ("(", "[", "{"):
+                if value == "(":
+                    after = self.last in _JS_HEADS
+                elif value == "{":  # a block, unless an operand is due here
+                    after = not self.expects_value or self.last in ("", ";", "{", "}", ")", "=>", "else", "do", "try", "finally")
+                else:
+                    after = False
+                self.open.append((value, after))
+                self.expects_value = True
+            elif value in (")", "]", "}"):
+                self.expects_value = self.open.pop()[1] if self.open else value == "}"
+            else:
+                self.expects_value = value not in ("++", "--") or self.expects_value
+        elif kind == "Keyword":
+            self.expects_value = value not in _JS_VALUES
+        else:
+            self.expects_value = False
+        self.last = value
 
 
 def without_shebang(text: str) -> str:
@@ -216,40 +264,69 @@ def without_shebang(text: str) -> str:
 
 
 def javascript_tokens(source: bytes | str) -> list[Token]:
-    """Tokens by class. A slash is a division unless what follows can only be a comment."""
-    return _located(_JS, without_shebang(text_of(source)), _js_kind)
+    """Tokens by class, characters of no token as ERROR. A slash begins a regular expression where an
+    operand is due; a template is one token, or its parts around the expressions in it."""
+    text = without_shebang(text_of(source))
+    out: list[Token] = []
+    scanner, templates = _Scanner(), []  # for each open template, the brackets open around its expression
+    at, line, line_start = 0, 1, 0
+    while at < len(text):
+        c = text[at]
+        found, kind = None, ""
+        if c == "/" and scanner.expects_value:
+            found, kind = _JS_REGEXP.match(text, at), "RegularExpression"
+        elif c == "`" or (c == "}" and templates and templates[-1] == len(scanner.open)):
+            found, kind = _JS_TEMPLATE.match(text, at), "Template"
+            if found and c == "}":
+                templates.pop()
+            if found and found[0][-1] == "{":
+                templates.append(len(scanner.open))
+        if not found:
+            found = _JS.match(text, at)
+            kind = _js_word(found[0]) if found.lastgroup == "word" else found.lastgroup
+        value, at = found[0], found.end()
+        breaks = value.count("\n")
+        end_line = line + breaks
+        end_start = found.start() + value.rfind("\n") + 1 if breaks else line_start
+        if kind != "skip":
+            out.append(Token(kind, value, line, found.start() - line_start, end_line, at - end_start))
+            scanner.token(kind, value)
+            if kind == "Template" and value[-1] == "{":
+                scanner.expects_value = True
+        line, line_start = end_line, end_start
+    return out
+
+
+# Vocabulary entries of the classes of tokens.
+_JS_ENTRIES = {"Identifier": "<IDENTIFIER>", "Numeric": "<NUMBER>", "String": "<STRING>", "RegularExpression": "<REGEXP>"}
+# Vocabulary entries of templates, by whether the part begins and ends the template.
+_JS_TEMPLATES = {
+    (True, True): "<STANDALONE-TEMPLATE>", (True, False): "<TEMPLATE-HEAD>",
+    (False, False): "<TEMPLATE-MIDDLE>", (False, True): "<TEMPLATE-TAIL>",
+}
 
 
 def javascript_entry(token: Token) -> str:
-    """Vocabulary entry of a token; TypeError for an unknown class."""
-    if token.name in ("Boolean", "Keyword", "Null", "Punctuator"):
-        return token.value
+    """Vocabulary entry of a token: words and marks by themselves, escapes resolved, all else by class.
+    TypeError for an unknown class."""
     if token.name == "Template":
-        whole = token.value.startswith("`") and token.value.endswith("`") and len(token.value) > 1
-        return "`standalone-template`" if whole else "`template-head${" if token.value.startswith("`") else "}template-tail`" if token.value.endswith("`") else "}template-middle${"
-    classes = {"Identifier": "<IDENTIFIER>", "Numeric": "<NUMBER>", "String": "<STRING>", "RegularExpression": "/regexp/"}
-    if token.name not in classes:
+        return _JS_TEMPLATES[token.value[0] == "`", token.value[-1] == "`"]
+    if token.name in _JS_ENTRIES:
+        return _JS_ENTRIES[token.name]
+    if token.name not in ("Boolean", "Keyword", "Null", "Punctuator"):
         raise TypeError(token.name)
-    return classes[token.name]
+    return unescaped(token.value)
 
 
-def balanced(tokens: list[Token]) -> bool:
-    """Whether every token is known and brackets pair up: an approximation of a parse."""
-    closing, open_ = {")": "(", "]": "[", "}": "{"}, []
-    for t in tokens:
-        if t.name == "ERROR":
-            return False
-        if t.value in ("(", "[", "{"):
-            open_.append(t.value)
-        elif t.value in closing and (not open_ or open_.pop() != closing[t.value]):
-            return False
-    return not open_
+def javascript_vocabulary() -> list[str]:
+    """All entries that a token can have, in order."""
+    return sorted({*_JS_WORDS, "true", "false", "null", *_JS_MARKS, *_JS_ENTRIES.values(), *_JS_TEMPLATES.values()})
 
 
 LANGUAGES: dict[str, Language] = {
     "python": Language("python", (".py",), python_tokens, python_check, python_entry, lambda t: t.name not in _EXTRANEOUS),
-    "java": Language("java", (".java",), java_tokens, None, lambda t: t.name, lambda t: True),
-    "javascript": Language("javascript", (".js",), javascript_tokens, None, javascript_entry, lambda t: True),
+    "java": Language("java", (".java",), java_tokens, lambda source: not java8.check(_encoded(source)), lambda t: t.name, lambda t: True),
+    "javascript": Language("javascript", (".js",), javascript_tokens, lambda source: not javascript.check(_encoded(source)), javascript_entry, lambda t: True),
 }
 
 
@@ -293,9 +370,8 @@ def parsed(sources: DataFrame) -> DataFrame:
             for key, source, name in zip(frame["hash"], frame["source"], frame["language"]):
                 data = bytes(source or b"")
                 lang = language(name)
-                tokens = None if lang.check else lang.tokenise(data)
-                if lang.parses(data, tokens):
-                    sloc, n = lang.summarise(data, tokens)
+                if lang.parses(data):
+                    sloc, n = lang.summarise(data)
                     rows.append((key, name, sloc, n, None))
                 else:
                     rows.append((key, name, None, None, "Syntax error"))
@@ -314,13 +390,10 @@ def language_of(path: Column) -> Column:
     return out
 
 
-_UNESCAPE = re.compile(r"\\u(?:([0-9a-fA-F]{4})|\{([0-9a-fA-F]+)\})")
-
-
 @pandas_udf(T.StringType())
 def unescape_unicode(texts: pd.Series) -> pd.Series:
     """Text with \\uXXXX and \\u{X..} as their characters; an error beyond the last code point."""
-    return texts.map(lambda t: None if t is None else _UNESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)), t))
+    return texts.map(lambda t: None if t is None else unescaped(t))
 
 
 @pandas_udf(T.BinaryType())

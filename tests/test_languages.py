@@ -12,7 +12,7 @@ from corpusmill.sources.tables import SCHEMAS, read_or_empty
 
 
 def test_python():
-    assert lang.language("python").summarise(b'import sys\n\nsys.stdout.write("hello")\n') == (2, 12)
+    assert lang.language("python").summarise(b'from os import path\n\nprint(path.join("a", "b"))\n') == (2, 17)
     tokens = [t.name for t in lang.python_tokens('f"{x} y" + 1')]
     assert tokens.count("STRING") == 1 and not any("FSTRING" in t for t in tokens)
     assert "ERRORTOKEN" in [t.name for t in lang.python_tokens("import $")]
@@ -23,21 +23,55 @@ def test_python():
 def test_java():
     good = "package a;\nclass A {\n int \\u0061 = 0x1F; }\n"
     assert lang.language("java").summarise(good.encode()) == (3, 12)
-    assert [t.value for t in lang.java_tokens("p. \\u0042 \\uuu003B")] == ["p", ".", "B", ";"]
+    assert [t.value for t in lang.java_tokens("x\\u003d \\uu0079\\uuuu003B")] == ["x", "=", "y", ";"]
     assert [t.name for t in lang.java_tokens("#")] == ["ERROR"]
-    assert lang.language("java").parses(b"class A {}") and not lang.language("java").parses(b"class A {")
+    java = lang.language("java")
+    assert java.parses(b"class A {}") and not java.parses(b"class A {") and not java.parses(b"class class { int int = = ; }") and not java.parses("#")
+    assert java.parses("class A { int x = " + "(" * 1500 + "1" + ")" * 1500 + "; }")
     assert [t.name for t in lang.java_tokens("1L 1f 0x1.8p1 1e5 'c' \"s\" >>>= -> _")] == [
         "LONGLITERAL", "FLOATLITERAL", "DOUBLELITERAL", "DOUBLELITERAL", "CHARLITERAL", "STRINGLITERAL", "GTGTGTEQ", "ARROW", "UNDERSCORE"
     ]
 
 
+def entries(text):
+    return [lang.javascript_entry(t) for t in lang.javascript_tokens(text)]
+
+
 def test_javascript():
-    source = '#!/usr/bin/env node\n/* hi */ import {ಠ_ಠ} from "-_-";'.encode()
-    assert lang.language("javascript").summarise(source) == (1, 7)
-    entries = [lang.javascript_entry(t) for t in lang.javascript_tokens("if (x === null) `a` + 'b' - 2")]
-    assert entries == ["if", "(", "<IDENTIFIER>", "===", "null", ")", "`standalone-template`", "+", "<STRING>", "-", "<NUMBER>"]
+    script = lang.language("javascript")
+    source = '#!/usr/bin/js -u\n// first\nexport {größe as b} from "./c";'.encode()
+    assert script.summarise(source) == (1, 9) and script.parses(source)
+    assert entries("if (x === null) `a` + 'b' - 2") == ["if", "(", "<IDENTIFIER>", "===", "null", ")", "<STANDALONE-TEMPLATE>", "+", "<STRING>", "-", "<NUMBER>"]
+    assert entries("a.\\u0069f = tr\\u0075e") == ["<IDENTIFIER>", ".", "if", "=", "true"]
     with pytest.raises(TypeError):
         lang.javascript_entry(lang.Token("Other", "x", 1, 0, 1, 1))
+    assert not script.parses(b"var = = 1 ; if else") and not script.parses(b"a b") and script.parses(b"import a from 'b'")
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ('var r = /["]/;', ["var", "<IDENTIFIER>", "=", "<REGEXP>", ";"]), ("a / b / c", ["<IDENTIFIER>", "/", "<IDENTIFIER>", "/", "<IDENTIFIER>"]), ("f(/[/]\\//g)", ["<IDENTIFIER>", "(", "<REGEXP>", ")"]),
+        ("if (a) /b/.test(c)", ["if", "(", "<IDENTIFIER>", ")", "<REGEXP>", ".", "<IDENTIFIER>", "(", "<IDENTIFIER>", ")"]), ("(a) / b", ["(", "<IDENTIFIER>", ")", "/", "<IDENTIFIER>"]),
+        ("return /a/", ["return", "<REGEXP>"]), ("this / 2", ["this", "/", "<NUMBER>"]), ("x = {} / 2", ["<IDENTIFIER>", "=", "{", "}", "/", "<NUMBER>"]), ("{} /a/", ["{", "}", "<REGEXP>"]), ("i++ / 2", ["<IDENTIFIER>", "++", "/", "<NUMBER>"]),
+        ("`a${b}c${ {d: `e${1}`} }f`", ["<TEMPLATE-HEAD>", "<IDENTIFIER>", "<TEMPLATE-MIDDLE>", "{", "<IDENTIFIER>", ":", "<TEMPLATE-HEAD>", "<NUMBER>", "<TEMPLATE-TAIL>", "}", "<TEMPLATE-TAIL>"]),
+        ("`$ \\${ `", ["<STANDALONE-TEMPLATE>"]), ("`${/}`/}`", ["<TEMPLATE-HEAD>", "<REGEXP>", "<TEMPLATE-TAIL>"]), ("", []),
+    ],
+)
+def test_regular_expressions_and_templates(text, expected):
+    assert entries(text) == expected
+
+
+def test_scripts_with_quotes_in_regular_expressions_parse():
+    assert lang.language("javascript").parses(b'var r = /["(]/; f("x");') and not [t for t in lang.javascript_tokens('var r = /["(]/; f("x");') if t.name == "ERROR"]
+
+
+def test_every_entry_is_in_the_vocabulary():
+    known = set(lang.javascript_vocabulary())
+    assert len(known) == 98 and {"<REGEXP>", "<STANDALONE-TEMPLATE>", "<TEMPLATE-HEAD>", "<TEMPLATE-MIDDLE>", "<TEMPLATE-TAIL>"} < known
+    for entry in sorted(known):
+        if entry[0] != "<" or len(entry) < 4:
+            assert entries(entry) == [entry] or entry in ("/", "/=", "}"), entry
 
 
 def test_unknown_language():
