@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,23 +78,35 @@ class WuManber:
         return found
 
 
+_automata: dict[str, WuManber] = {}
+
+
+def _built(key: str, shared, width: int) -> WuManber:
+    """The automaton of a block, kept by the worker until it meets another one."""
+    if key not in _automata:
+        _automata.clear()
+        _automata[key] = WuManber(shared.value, width)
+    return _automata[key]
+
+
 def leaked(documents: DataFrame, items: DataFrame, width: int = WIDTH, block: int = 20_000) -> DataFrame:
     """doc_id, item_id: each document with each item of which it holds ``width`` consecutive words.
 
     ``documents``: doc_id, text; ``items``: item_id, text. Pairs are distinct, null keys and texts
     give none, an empty table on either side gives an empty result. The items are the stated query
-    set, small beside the documents; they are read to the driver and searched for in blocks of at
-    most ``block``, one pass over all documents each, so what is broadcast stays bounded.
+    set, small beside the documents; they stream through the driver in blocks of at most ``block``, which
+    are searched for in one pass over all documents each, so what is held and broadcast at once stays
+    bounded. A worker builds the tables of a block once, whatever number of tasks it runs.
     """
-    rows = sorted({(r["item_id"], r["text"]) for r in items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator()})
+    wanted = items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct().sort("item_id", "text").toLocalIterator()
     spark = documents.sparkSession
     kind = documents.schema["doc_id"].dataType.simpleString()
     out = None
-    for lo in range(0, max(len(rows), 1), block):
-        shared = spark.sparkContext.broadcast(rows[lo : lo + block])
+    while (rows := [tuple(r) for r in islice(wanted, block)]) or out is None:
+        shared = spark.sparkContext.broadcast(rows)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = WuManber(shared.value, width)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid4().hex) -> Iterator[pa.RecordBatch]:
+            automaton = _built(key, shared, width)
             for batch in batches:
                 docs, hits = [], []
                 for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

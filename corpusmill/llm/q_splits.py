@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import splits
-from corpusmill.sources.tables import owner_key, read
+from corpusmill.sources.tables import read
 
 
 def _assigned(spark: SparkSession, d: str) -> DataFrame:
     mappings = read(spark, d, "repository_source").select("owner", "name", "hash", "path").distinct()
-    return splits.assign_splits(mappings, owner_key("owner"))
+    return splits.assign_splits(splits.owner_components(mappings), F.col("component"))
 
 
 def recorded_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -25,11 +25,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.broken_components(_assigned(spark, d), recorded_sets(spark, d), "hash").select(F.col("component").alias("owner"))
 
 
+def p1_moves(spark: SparkSession, d: str) -> DataFrame:
+    return splits.broken_components(_assigned(spark, d), recorded_sets(spark, d), "hash").select(F.col("component").alias("owner"), "split", "n_sets", "n_moved")
+
+
 def p1_balance(spark: SparkSession, d: str) -> DataFrame:
     return splits.balance_report(_assigned(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_balance": p1_balance}
+QUERIES = {"p1_found": p1_found, "p1_moves": p1_moves, "p1_balance": p1_balance}
 
 ORACLES = {
     "p1_found": """

@@ -21,23 +21,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import cut
+from corpusmill.runtime import beside, cut
+from corpusmill.sources.tables import owner_key
 
 TARGETS = {"training": 0.8, "validation": 0.1, "test": 0.1}
 
 
-def entity_components(links: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+def entity_components(links: DataFrame, left: str, right: str) -> DataFrame:
     """node, component of the graph whose edges are the rows (left, right); component = least node.
 
-    For records tied by more than one entity. Every round each node takes the least label among its
-    neighbours' and then its label's label; the labels are written to the shared checkpoint folder,
-    so lineage stays short. Null ends carry no link. Raises if the labels still change after
-    ``max_rounds``.
+    For records tied by an entity. Every round each node takes the least label among its neighbours' and
+    then its label's label, so labels travel twice as far each round; they only ever fall, so the rounds
+    end. The labels are written to the shared checkpoint folder, so lineage stays short. A hot node is
+    reduced with map-side minima, not gathered. Null ends carry no link.
     """
     edges = links.select(F.col(left).cast("string").alias("a"), F.col(right).cast("string").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     edges = cut(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
         step = labels.join(near, "node").select("node", "component", F.least("component", "seen").alias("next"))
         jump = step.join(labels.select(F.col("node").alias("next"), F.col("component").alias("far")), "next", "left")
@@ -46,7 +47,19 @@ def entity_components(links: DataFrame, left: str, right: str, max_rounds: int =
         labels = fresh.select("node", "component")
         if done:
             return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+
+
+def owner_components(mappings: DataFrame, owner: str = "owner") -> DataFrame:
+    """``mappings`` with component: the entity behind a spelling of the owner.
+
+    Spellings are tied to the key they share; the component is that key. Null owners are one entity ''.
+    Spellings are few beside the mappings, which are joined to a table broadcast by its count.
+    """
+    spelled = mappings.select(F.coalesce(F.col(owner), F.lit("")).alias("_spelled")).distinct().withColumn("_key", owner_key("_spelled"))
+    # nodes of the two kinds are told apart by their first character; keys come first, so they name components
+    links = spelled.select(F.concat(F.lit("="), "_spelled").alias("_a"), F.concat(F.lit("+"), "_key").alias("_b"))
+    found = entity_components(links, "_a", "_b").where("node LIKE '=%'").select(F.substring("node", 2, 1 << 30).alias("_spelled"), F.substring("component", 2, 1 << 30).alias("component"))
+    return beside(mappings.drop("component").withColumn("_spelled", F.coalesce(F.col(owner), F.lit(""))), cut(found), "_spelled").drop("_spelled")
 
 
 def largest_differencing(weights: list[float], bins: int) -> list[int]:
@@ -133,21 +146,18 @@ def assign_splits(
 
 
 def broken_components(assigned: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
-    """component, n_sets: components of ``assigned`` that the ``recorded`` sets of their keys tear apart.
+    """component, split, n_sets, n_moved: components of ``assigned`` that the ``recorded`` sets of their keys
+    tear apart, with their new split and how many of their keys are recorded elsewhere.
 
     Only keys that belong to one component count. ``recorded`` holds (key, set_name); null sets and
-    null keys say nothing. A component is listed when its keys lie in more than one set; the new
-    assignment holds it together, which is checked here too.
+    null keys say nothing. A torn component has keys in several sets, so some lie outside its split.
     """
-    of_key = assigned.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.min("component").alias("component"), F.max("component").alias("_last"), F.min("split").alias("_s"), F.max("split").alias("_t")
-    )
+    of_key = assigned.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("component").alias("component"), F.max("component").alias("_last"), F.min("split").alias("split"))
     own = of_key.where("component = _last")
     sets = recorded.where(f"{key} IS NOT NULL AND set_name IS NOT NULL").select(key, "set_name").distinct()
-    torn = own.join(sets, key).groupBy("component").agg(
-        F.count_distinct("set_name").alias("n_sets"), F.min("_s").alias("_s"), F.max("_t").alias("_t")
-    )
-    return torn.where("n_sets > 1 AND _s = _t").select("component", "n_sets")
+    joined = own.join(sets, key)
+    torn = joined.groupBy("component", "split").agg(F.count_distinct("set_name").alias("n_sets"), F.count_if(F.col("set_name") != F.col("split")).alias("n_moved"))
+    return torn.where("n_sets > 1")
 
 
 def balance_report(assigned: DataFrame) -> DataFrame:

@@ -340,7 +340,7 @@ def test_broken_components(spark):
     sets = [("h1", "training"), ("h2", "test"), ("h3", "training"), ("h4", "test"), ("h9", None), (None, "test")]
     assigned = splits.assign_splits(spark.createDataFrame(mappings, MAPPING), owner_key("owner"))
     found = splits.broken_components(assigned, spark.createDataFrame(sets, "hash string, set_name string"), "hash").collect()
-    assert [tuple(r) for r in found] == [("a", 2)]
+    assert [(r.component, r.n_sets) for r in found] == [("a", 2)] and found[0].n_moved == 1 and found[0].split in splits.TARGETS
 
 
 def test_splits_of_nothing(spark):
@@ -466,3 +466,34 @@ def test_a_notice_counts_where_the_grammar_shows_a_generator(spark):
 def test_banners_below_a_license_text():
     assert provenance.banner_of(["Copyright 2011 X", "Licensed under terms", "of no one", "", "somelib v1.2.3", "more"]) == ("somelib", "1.2.3")
     assert provenance.banner_of(["a", "b", "c", "as in", "somelib v1.2.3"]) == (None, None) and provenance.banner_of([]) == (None, None)
+
+
+def test_spellings_of_an_owner_are_one_component(spark):
+    rows = [("Ann", "r", "1", "p"), (" ann ", "s", "2", "p"), ("BOB", "r", "3", "p"), (None, "r", "4", "p"), ("=ann", "r", "5", "p")]
+    got = {r.hash: r.component for r in splits.owner_components(spark.createDataFrame(rows, MAPPING).withColumn("component", F.lit("clash"))).collect()}
+    assert got == {"1": "ann", "2": "ann", "3": "bob", "4": "", "5": "=ann"}
+    assert splits.owner_components(spark.createDataFrame([], MAPPING)).collect() == []
+
+
+def test_components_of_a_long_chain_and_a_hot_node(spark):
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(150)] + [("hub", f"x{i}") for i in range(300)]
+    got = {r.node: r.component for r in splits.entity_components(spark.createDataFrame(chain, "a string, b string"), "a", "b").collect()}
+    assert {v for k, v in got.items() if k[0] == "n"} == {"n000"} and {v for k, v in got.items() if k[0] in "hx"} == {"hub"}
+
+
+def test_classes_cost_little_balance():
+    rng = random.Random(19)
+    weights = [1 + int(rng.paretovariate(1.1)) for _ in range(20_000)]
+    total, bins, classes = sum(weights), 100, 1024
+    heavy = [w for w in weights if w * 4 * bins >= total]
+    light = [0] * classes
+    for w in weights:
+        if w * 4 * bins < total:
+            light[rng.randrange(classes)] += w
+    for items in (heavy + light, sorted(weights)[-3000:]):
+        loads = [0] * bins
+        for w, b in zip(items, splits.largest_differencing(items, bins)):
+            loads[b] += w
+        chosen = splits.allocate_bins(loads, splits.TARGETS)
+        shares = {s: sum(l for l, c in zip(loads, chosen) if c == s) / sum(items) for s in splits.TARGETS}
+        assert all(abs(shares[s] - t) <= max(0.02, max(items) / sum(items)) for s, t in splits.TARGETS.items())
