@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["skew", "corpus", "evaluation", "sequence", "languages"]
+MODULES = ["skew", "corpus", "evaluation", "sequence", "languages", "code"]
 
 
 def _gather(what: str) -> dict:
