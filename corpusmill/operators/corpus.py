@@ -211,7 +211,8 @@ def insert_missing(existing: DataFrame, new: DataFrame, keys: list[str]) -> Data
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Both tables with one row per key, the one with the largest ``order``; ``new`` wins ties."""
+    """Both tables with one row per key: a new one where there is any, whatever its ``order``; of several
+    in one table the one with the largest ``order``, nulls last."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     rank = Window.partitionBy(*keys).orderBy(F.col("_new").desc(), F.col(order).desc_nulls_last())
     return both.withColumn("_k", F.row_number().over(rank)).where("_k = 1").drop("_k", "_new")

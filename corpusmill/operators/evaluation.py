@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import asdict, dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -130,6 +131,35 @@ def t_tail(t: float, df: float) -> float:
     return beta / 2 if t >= 0 else 1 - beta / 2
 
 
+@dataclass(frozen=True)
+class Training:
+    """Settings of a training run, with the usual values."""
+
+    hidden_layers: tuple[int, ...] = (128,)
+    context_length: int = 9
+    batch_size: int = 32
+    learning_rate: float = 0.001
+    patience: int = 3
+    optimizer: str = "rmsprop"
+    training_files: int = 11_000
+    validation_files: int = 5_500
+    partition: int = 0
+    backwards: bool = False
+
+    def slug(self) -> str:
+        """key-value of all settings in order, joined by commas; layers by plus signs."""
+        shown = {**asdict(self), "hidden_layers": "+".join(map(str, self.hidden_layers)), "backwards": str(self.backwards).lower()}
+        return ",".join(f"{k}-{shown[k]}" for k in sorted(shown))
+
+    def steps(self, samples: int) -> int:
+        """Batches of an epoch."""
+        return -(-samples // self.batch_size)
+
+    def stops(self, losses: list[float]) -> bool:
+        """Whether the loss has not fallen for ``patience`` epochs."""
+        return len(losses) > self.patience and min(losses[-self.patience :]) >= min(losses[: -self.patience])
+
+
 def weight_files(model: DataFrame) -> DataFrame:
     """model_id, direction, file: the name under which a training run stores its weights."""
     named = lambda way: F.format_string("intermediate-%.4f-%02d.hdf5", F.col(f"{way}_val_loss"), F.col("patience"))

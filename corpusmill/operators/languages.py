@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import io
+import os
 import re
 import tokenize
 import warnings
@@ -337,6 +338,31 @@ def language(name: str) -> Language:
     return LANGUAGES[name]
 
 
+_chosen: list[str] = []
+#: Environment variable that names the language where none was chosen.
+VARIABLE = "CORPUSMILL_LANGUAGE"
+
+
+def choose(name: str) -> Language:
+    """Makes a language the default of this process."""
+    found = language(name)
+    _chosen[:] = [name]
+    return found
+
+
+def chosen() -> Language:
+    """The default language: the one chosen, or else the environment's; LookupError where there is none."""
+    name = _chosen[0] if _chosen else os.environ.get(VARIABLE, "")
+    if not name:
+        raise LookupError(f"no language chosen and {VARIABLE} is not set")
+    return language(name)
+
+
+def forget() -> None:
+    """Drops the choice."""
+    _chosen.clear()
+
+
 def register_check(name: str, check: Callable[[bytes], bool]) -> None:
     """Puts another syntax check in the place of a language's own."""
     LANGUAGES[name] = replace(language(name), check=check)

@@ -50,9 +50,60 @@ def bigram_scorer(counts: np.ndarray, alpha: float = 1.0) -> Callable[[], Scorer
     return make
 
 
-def lstm_scorer(forwards: bytes, backwards: bytes, context: int = 9) -> Callable[[], Scorer]:
+def context_length(*weights: bytes, default: int = 9) -> int:
+    """Length of the contexts that all weight files were trained on (array context, ``default`` where a
+    file has none); ValueError where they differ."""
+    found = {int(model["context"]) if "context" in model else default for model in (np.load(io.BytesIO(data)) for data in weights)}
+    if len(found) != 1:
+        raise ValueError(f"contexts of different lengths: {sorted(found)}")
+    return found.pop()
+
+
+def one_hot_contexts(vector: np.ndarray, size: int, context: int, backwards: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(contexts, targets) of all positions, one-hot: shapes (n, context, size) and (n, size)."""
+    vector = np.asarray(vector, np.int64)
+    unit = np.eye(size, dtype=np.float32)
+    if not len(vector):
+        return np.zeros((0, context, size), np.float32), np.zeros((0, size), np.float32)
+    padded = np.concatenate([vector[1:], np.full(context, END)]) if backwards else np.concatenate([np.full(context, START), vector[:-1]])
+    return unit[np.lib.stride_tricks.sliding_window_view(padded, context)], unit[vector]
+
+
+def training_batches(vectors: DataFrame, size: int, context: int, batch: int, backwards: bool = False, epochs: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of contexts and targets over all vectors, epoch after epoch, endlessly without ``epochs``.
+    The last batch of an epoch holds what is left. Vectors stream through the driver a partition at a
+    time, for a trainer beside Spark."""
+    epoch = 0
+    while epochs is None or epoch < epochs:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
+        seen = False
+        for row in vectors.select("vector").toLocalIterator():
+            x, y = one_hot_contexts(np.array(row["vector"]), size, context, backwards)
+            seen |= bool(len(y))
+            held.append((x, y))
+            n += len(y)
+            while n >= batch:
+                xs, ys = (np.concatenate(c) for c in zip(*held))
+                yield xs[:batch], ys[:batch]
+                held, n = [(xs[batch:], ys[batch:])], n - batch
+        if n:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+        if not seen:
+            return
+        epoch += 1
+
+
+def samples_per_epoch(vectors: DataFrame) -> int:
+    """Contexts in all vectors: one a token."""
+    return vectors.agg(F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first()[0]
+
+
+def lstm_scorer(forwards: bytes, backwards: bytes, context: int | None = None) -> Callable[[], Scorer]:
     """From two weight files (npz) with arrays kernel_i, recurrent_i and bias_i of each layer (gates in
-    the order input, forget, cell, output), and dense and dense_bias. Both need equal vocabularies."""
+    the order input, forget, cell, output), and dense and dense_bias. Both need equal vocabularies and
+    contexts; the context's length is read from the files unless given."""
+    context = context_length(forwards, backwards) if context is None else context
 
     def sigmoid(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x, -60, 60)))

@@ -106,3 +106,13 @@ def fix_candidates(files: DataFrame, k: int = 3) -> DataFrame:
     nothing, there = F.lit(None), F.col("truth")
     edits = F.concat(F.transform(offered, lambda t: edit("i", t, nothing)), F.array(edit("x", nothing, there)), F.transform(offered, lambda t: edit("s", t, there)))
     return worst.select("file", "rank", F.posexplode(edits).alias("step", "edit")).select("file", "rank", "step", "edit.*")
+
+
+def rendered(forwards: Column, backwards: Column, texts: Column, k: int = 3) -> Column:
+    """The k best of either direction with their percentages, as text: 'forwards: a 50.00%, ... | ...'."""
+
+    def side(name: str, distribution: Column) -> Column:
+        each = F.transform(best_indices(distribution, k), lambda i: F.format_string("%s %.2f%%", F.get(texts, i), F.get(distribution, i) * 100))
+        return F.concat(F.lit(f"{name}: "), F.array_join(each, ", "))
+
+    return F.concat_ws(" | ", side("forwards", forwards), side("backwards", backwards))

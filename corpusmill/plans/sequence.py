@@ -257,7 +257,16 @@ ORACLES = {
           CASE WHEN code <> 'x' THEN {_ALL}[w[loc + 1] + 1] END AS new_token, CASE WHEN code <> 'i' THEN {_ALL}[v[loc + 1] + 1] END AS old_token FROM a""",
     "distribution_metrics": f"""
         SELECT vec_id, round({_XENT}, 6) AS xentropy, round(f[truth + 1] * g[truth + 1], 6) AS indexed_prob, round(list_cosine_similarity(f, g), 6) AS cosine,
-          round(1 - list_sum(list_transform(range(1, 33), lambda i: abs(f[i] - g[i]))) / 2, 6) AS agreement, true AS normal FROM {_DIST}""",
+          round(1 - list_sum(list_transform(range(1, 33), lambda i: abs(f[i] - g[i]))) / 2, 6) AS agreement,
+          abs(list_sum(f) - 1) <= 0.01 * greatest(list_sum(f), 1) AND abs(list_sum(g) - 1) <= 0.01 * greatest(list_sum(g), 1) AS normal FROM {_DIST}""",
+    "fix_candidates": f"""
+        WITH r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round({_XENT}, 6) DESC, vec_id) AS rank FROM {_DIST}),
+        w AS (SELECT *, {_TOP.format('f')} AS a, {_TOP.format('g')} AS b FROM r WHERE rank <= 3),
+        o AS (SELECT *, a || list_filter(b, lambda x: NOT list_contains(a, x)) AS offered FROM w),
+        e AS (SELECT label, rank, vec_id, truth, list_transform(offered, lambda t: {{'code': 'i', 'token': t, 'original': NULL::INTEGER}}) || [{{'code': 'x', 'token': NULL::INTEGER, 'original': truth}}]
+          || list_transform(offered, lambda t: {{'code': 's', 'token': t, 'original': truth}}) AS edits FROM o)
+        SELECT label AS file, CAST(rank AS INTEGER) AS rank, CAST(i - 1 AS INTEGER) AS step, edits[i].code AS code, CAST(vec_id AS INTEGER) AS index, CAST(edits[i].token AS INTEGER) AS token, CAST(edits[i].original AS INTEGER) AS original
+        FROM (SELECT *, unnest(range(1, len(edits) + 1)) AS i FROM e)""",
     "position_rank_topk": f"""SELECT label, rank, vec_id, xentropy FROM (SELECT label, vec_id, round({_XENT}, 6) AS xentropy,
         row_number() OVER (PARTITION BY label ORDER BY round({_XENT}, 6) DESC, vec_id) AS rank FROM {_DIST}) WHERE rank <= 3""",
     "best_suggestions": f"""SELECT vec_id, {_JOIN.format(f"list_sort(list_distinct({_TOP.format('f')} || {_TOP.format('g')}))")} AS suggestions,

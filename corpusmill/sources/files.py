@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
+import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +43,10 @@ def source_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("content").alias("source"), F.sha2("content", 256).alias("hash"))
 
 
-def archive_sources(spark: SparkSession, path: str, extensions: tuple[str, ...]) -> DataFrame:
+def archive_sources(spark: SparkSession, path: str, extensions: tuple[str, ...], with_failures: bool = False) -> DataFrame:
     """archive, path, source, hash of the files in zip archives that end as given, without the
-    archive's own folder. Broken archives give no rows; paths that leave the folder are left out."""
+    archive's own folder. Paths that leave the folder are left out. ``with_failures`` adds error: a
+    broken archive, or a member that cannot be read, is a row with its reason and no source."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -54,14 +54,27 @@ def archive_sources(spark: SparkSession, path: str, extensions: tuple[str, ...])
             for name, content in zip(frame["path"], frame["content"]):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        rows += [(name, info.filename, archive.read(info)) for info in archive.infolist() if not info.is_dir() and info.filename.endswith(extensions)]
-                except zipfile.BadZipFile:
-                    continue
-            yield pd.DataFrame(rows, columns=["archive", "path", "source"])
+                        for info in archive.infolist():
+                            if not info.is_dir() and info.filename.endswith(extensions):
+                                try:
+                                    rows.append((name, info.filename, archive.read(info), None))
+                                except (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error) as fault:
+                                    rows.append((name, info.filename, None, str(fault)))
+                except zipfile.BadZipFile as fault:
+                    rows.append((name, None, None, str(fault)))
+            yield pd.DataFrame(rows, columns=["archive", "path", "source", "error"])
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, path string, source binary")
-    cleaned = found.withColumn("path", F.regexp_replace("path", r"^[^/]*/", ""))
-    return cleaned.where(safe_path(F.col("path"))).withColumn("hash", F.sha2("source", 256))
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, path string, source binary, error string")
+    cleaned = found.withColumn("path", F.regexp_replace("path", r"^[^/]*/", "")).where(F.col("path").isNull() | safe_path(F.col("path"))).withColumn("hash", F.sha2("source", 256))
+    return cleaned.select("archive", "path", "source", "hash", "error") if with_failures else cleaned.where("error IS NULL").select("archive", "path", "source", "hash")
+
+
+def recorded_downloads(requests: DataFrame, recorded: DataFrame) -> DataFrame:
+    """url, body, error of requested urls by recorded bodies (url, status, body): what a download gives,
+    without a network. A status other than 200, or none, is an error."""
+    met = requests.select("url").distinct().join(recorded.select("url", "status", "body"), "url", "left")
+    good = F.col("status") == 200
+    return met.select("url", F.when(good, F.col("body")).alias("body"), F.when(F.col("status").isNull(), "not recorded").when(~good, F.concat(F.lit("status "), F.col("status").cast("string"))).alias("error"))
 
 
 _RESPONSE = "data struct<repository: struct<name: string, owner: struct<login: string>, licenseInfo: struct<name: string>, defaultBranchRef: struct<target: struct<sha1: string, committedDate: string>>>>"
@@ -82,6 +95,21 @@ def most_starred(found: DataFrame, n: int) -> DataFrame:
     return found.orderBy(F.col("stars").desc(), "name").limit(n)
 
 
+def star_pages(found: DataFrame, size: int) -> Iterator[DataFrame]:
+    """Pages of ``size`` repositories by falling stars, then by name, each found by the last key of the
+    page before (a filter and a top-k, no global sort). Repositories without stars are left out."""
+    rest = found.where("stars IS NOT NULL")
+    after = None
+    while True:
+        page = rest if after is None else rest.where((F.col("stars") < after[0]) | ((F.col("stars") == after[0]) & (F.col("name") > after[1])))
+        page = page.orderBy(F.col("stars").desc(), "name").limit(size)
+        last = page.select("stars", "name").orderBy(F.col("stars"), F.col("name").desc()).first()
+        if last is None:
+            return
+        yield page
+        after = last["stars"], last["name"]
+
+
 def file_pairs(before: DataFrame, after: DataFrame) -> DataFrame:
     """path, before, after of two folders' files with equal paths."""
     return before.select("path", F.col("source").alias("before")).join(after.select("path", F.col("source").alias("after")), "path")
@@ -93,22 +121,8 @@ def write_hash_lists(split: DataFrame, path: str) -> None:
 
 
 def export_tree(files: DataFrame, root: str) -> DataFrame:
-    """Writes owner/name/path below a shared folder and returns path and size of each file written.
+    """Writes owner/name/path below a shared folder and returns path and size of each file written (see
+    ``stores.write_files``)."""
+    from corpusmill.sources.stores import write_files
 
-    Paths that would leave the folder are not written. Tasks may run again: a file is replaced as a whole.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, source in zip(frame["path"], frame["source"]):
-                target = Path(root) / path
-                target.parent.mkdir(parents=True, exist_ok=True)
-                part = target.with_name(f".{target.name}.{re.sub(r'[^0-9a-f]', '', str(id(frame)))}.part")
-                part.write_bytes(bytes(source or b""))
-                part.replace(target)
-                rows.append((path, len(source or b"")))
-            yield pd.DataFrame(rows, columns=["path", "size"])
-
-    whole = F.concat_ws("/", "owner", "name", "path")
-    return files.select(whole.alias("path"), "source").where(safe_path(F.col("path"))).mapInPandas(run, "path string, size bigint")
+    return write_files(files.select(F.concat_ws("/", "owner", "name", "path").alias("path"), "source"), root)
