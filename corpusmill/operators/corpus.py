@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.runtime import beside
+
 DEFAULT_REASON = "Syntax error"
 # The endings that belong to a language, as stored, in lower case.
 EXTENSIONS = {"java": [".java"], "python": [".py"], "javascript": [".js"]}
@@ -74,7 +76,7 @@ def file_info(source_file: DataFrame, repository_source: DataFrame, repository:
         F.min(F.struct("owner", "name", "path")).alias("_m"), F.count_distinct("owner", "name", "path").alias("n_mappings")
     ).select("hash", "_m.*", "n_mappings")
     summary = source_summary.groupBy("hash").agg(F.min(F.struct("sloc", "n_tokens")).alias("_s"))
-    joined = least.join(source_file.select("hash").distinct(), "hash", "left_semi").join(repositories, ["owner", "name"]).join(summary, "hash", "left")
+    joined = least.join(source_file.select("hash").distinct(), "hash", "left_semi").transform(lambda t: beside(t, repositories, ["owner", "name"])).join(summary, "hash", "left")
     return joined.select(
         "hash", "owner", "name", "path", "n_mappings", (F.col("n_mappings") == 1).alias("is_unique"), F.col("_r.license").alias("license"),
         href(F.col("owner"), F.col("name"), F.col("_r.revision"), F.col("path")).alias("href"), F.col("_s.sloc").alias("sloc"), F.col("_s.n_tokens").alias("n_tokens"),

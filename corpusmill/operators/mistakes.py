@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators import languages
-from corpusmill.operators.sequence import edit_line, with_single_fix
+from corpusmill.operators.sequence import edit_line, string_distance, with_single_fix
 
 KEYS = ["source_file_id", "before_id"]
 _LEXED = "source_file_id bigint, before_id bigint, before array<string>, after array<string>, lines array<int>"
@@ -46,7 +46,7 @@ def as_characters(numbers: Column) -> Column:
 
 def distances(pairs: DataFrame) -> DataFrame:
     """source_file_id, before_id, levenshtein of lexed pairs."""
-    return _numbers(pairs).select(*KEYS, F.levenshtein(as_characters(F.col("a")), as_characters(F.col("b"))).alias("levenshtein"))
+    return _numbers(pairs).select(*KEYS, string_distance(as_characters(F.col("a")), as_characters(F.col("b"))).alias("levenshtein"))
 
 
 def _numbers(pairs: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions.binding import let
+
 PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 # The words that keep their text when tokens are abstracted.
 KEYWORDS = (
@@ -205,9 +207,44 @@ def with_single_fix(pairs: DataFrame, before: str, after: str) -> DataFrame:
     return found.withColumn("fix", F.when(F.col("_same"), edit)).drop("_at", "_code", "_same")
 
 
+def _different_ends(a: Column, b: Column) -> Column:
+    """Struct (a, b) of two strings without what they have in common at the beginning and at the end."""
+
+    def cut(x: Column, y: Column) -> Column:
+        least = F.least(F.length(x), F.length(y))
+        # halving: the longest common beginning, in as many comparisons as its length has digits
+        def step(acc: Column, _: Column) -> Column:
+            middle = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
+            same = F.substring(x, F.lit(1), middle) == F.substring(y, F.lit(1), middle)
+            return F.struct(F.when(same, middle).otherwise(acc["lo"]).alias("lo"), F.when(same, acc["hi"]).otherwise(F.greatest(middle - 1, acc["lo"])).alias("hi"))
+
+        start = F.struct(F.lit(0).alias("lo"), least.cast("int").alias("hi"))
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(least, F.lit(1)) + 1)).cast("int"))
+        return F.aggregate(rounds, start, step, lambda acc: acc["lo"])
+
+    def without(x: Column, y: Column, then) -> Column:
+        return let(cut(x, y), lambda n: let(F.struct(F.substring(x, n + 1, F.length(x) - n).alias("x"), F.substring(y, n + 1, F.length(y) - n).alias("y")), then))
+
+    return without(a, b, lambda s: without(F.reverse(s["x"]), F.reverse(s["y"]), lambda t: t))
+
+
+def string_distance(a: Column, b: Column, bands: tuple[int, ...] = (32, 1024)) -> Column:
+    """Edit distance of two strings: common ends are cut off, then ever wider bands of the table are
+    filled until the distance lies inside; only what lies in none takes the whole table."""
+
+    def within(s: Column) -> Column:
+        out = F.levenshtein(s["x"], s["y"])
+        for band in reversed(bands):
+            tried = F.levenshtein(s["x"], s["y"], band)
+            out = F.when(tried >= 0, tried).otherwise(out)
+        return out
+
+    return let(_different_ends(a, b), within)
+
+
 def distance(before: Column, after: Column) -> Column:
     """Token edit distance of two vectors."""
-    return F.levenshtein(ascii_code(before), ascii_code(after))
+    return string_distance(ascii_code(before), ascii_code(after))
 
 
 def edit_line(lines: Column, edit: Column) -> Column:

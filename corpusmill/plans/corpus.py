@@ -29,7 +29,7 @@ def eligible_source(spark, d):
 
 
 def eligible_source_bytes(spark, d):
-    return c.eligible_sources(read(spark, d, "source_file"), _eligible(spark, d)).select("hash", F.octet_length("source").cast("long").alias("n_bytes")).distinct()
+    return c.eligible_sources(read(spark, d, "source_file"), _eligible(spark, d)).select("hash", F.octet_length("source").cast("long").alias("n_bytes"), F.md5("source").alias("digest")).distinct()
 
 
 def source_summaries(spark, d):
@@ -37,8 +37,8 @@ def source_summaries(spark, d):
 
 
 def sources_with_repository(spark, d):
-    sizes = c.distinct_sources(read(spark, d, "source_file"))
-    return c.sources_with_repository(read(spark, d, "repository_source"), sizes).select("owner", "name", "path", "hash", "n_bytes")
+    sources = read(spark, d, "source_file").dropDuplicates(["hash"])
+    return c.sources_with_repository(read(spark, d, "repository_source"), sources).select("owner", "name", "path", "hash", F.octet_length("source").cast("long").alias("n_bytes"), F.md5("source").alias("digest"))
 
 
 def source_lookup(spark, d):
@@ -154,10 +154,10 @@ ORACLES = {
     "source_file_dedup": "SELECT DISTINCT hash, CAST(octet_length(source) AS BIGINT) AS n_bytes FROM source_file",
     "source_hash_check": "SELECT DISTINCT hash, sha256(source) = hash AS matches FROM source_file",
     "eligible_source": f"SELECT hash, sloc, n_tokens FROM {_ELIGIBLE}",
-    "eligible_source_bytes": f"SELECT DISTINCT hash, CAST(octet_length(source) AS BIGINT) AS n_bytes FROM source_file WHERE hash IN (SELECT hash FROM {_ELIGIBLE})",
+    "eligible_source_bytes": f"SELECT DISTINCT hash, CAST(octet_length(source) AS BIGINT) AS n_bytes, md5(source) AS digest FROM source_file WHERE hash IN (SELECT hash FROM {_ELIGIBLE})",
     "source_summaries": "SELECT DISTINCT hash, sloc, n_tokens FROM source_summary",
-    "sources_with_repository": """SELECT r.owner, r.name, r.path, r.hash, s.n_bytes FROM (SELECT DISTINCT owner, name, path, hash FROM repository_source) r
-        JOIN (SELECT DISTINCT hash, CAST(octet_length(source) AS BIGINT) AS n_bytes FROM source_file) s ON r.hash = s.hash""",
+    "sources_with_repository": """SELECT r.owner, r.name, r.path, r.hash, s.n_bytes, s.digest FROM (SELECT DISTINCT owner, name, path, hash FROM repository_source) r
+        JOIN (SELECT DISTINCT hash, CAST(octet_length(source) AS BIGINT) AS n_bytes, md5(source) AS digest FROM source_file) s ON r.hash = s.hash""",
     "source_lookup": "SELECT DISTINCT hash, CAST(octet_length(source) AS BIGINT) AS n_bytes FROM source_file WHERE hash = (SELECT min(hash) FROM source_file)",
     "corpus_language": "SELECT DISTINCT value FROM meta WHERE key = 'language'",
     "file_uniqueness": """SELECT hash, count(DISTINCT (owner, name, path)) AS n_mappings, count(DISTINCT (owner, name, path)) = 1 AS is_unique

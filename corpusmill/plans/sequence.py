@@ -9,6 +9,7 @@ from corpusmill.operators import queue as q
 from corpusmill.operators import scoring as m
 from corpusmill.operators import sequence as s
 from corpusmill.operators.corpus import eligible
+from corpusmill.runtime import beside
 from corpusmill.sources.tables import read
 
 
@@ -146,7 +147,7 @@ def partition_split(spark, d):
 
 def _assigned_hashes(spark, d):
     mappings = read(spark, d, "repository_source").select("owner", "name", "hash").distinct()
-    return p.first_seen(mappings.join(_split(spark, d), ["owner", "name"]))
+    return p.first_seen(beside(mappings, _split(spark, d), ["owner", "name"]))
 
 
 def partition_dedup(spark, d):

@@ -137,3 +137,31 @@ def test_balanced_partitions(spark):
     totals = spark.createDataFrame([(f"o{i}", "n", i % 17) for i in range(300)], "owner string, name string, w int")
     loads = p.balanced_partitions(totals, ["owner", "name"], "w").groupBy("partition").agg(F.sum("w").alias("w")).collect()
     assert len(loads) == 5 and max(r.w for r in loads) - min(r.w for r in loads) <= 32
+
+
+def test_distances_of_every_width(spark):
+    import random
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    rng = random.Random(3)
+    pairs = [("", ""), ("a", ""), ("", "abc"), ("abc", "abc"), ("aba", "ababa"), ("aaaa", "aa"), ("xabcx", "xbcx")]
+    for _ in range(150):
+        a = "".join(rng.choice("abc") for _ in range(rng.randrange(60)))
+        b = list(a)
+        for _ in range(rng.randrange(50)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(2)] = rng.choice("abcd") * rng.randrange(2)
+        pairs.append((a, "".join(b)))
+    pairs.append(("a" * 90, "b" * 80))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    from corpusmill.operators import sequence
+
+    got = df.select("a", "b", sequence.string_distance(F.col("a"), F.col("b"), (2, 9)).alias("d")).collect()
+    assert [(r.a, r.b, r.d) for r in got] == [(a, b, plain(a, b)) for a, b in pairs]
