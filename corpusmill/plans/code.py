@@ -48,6 +48,32 @@ def java_neighbours(spark, d):
     return c.neighbour_counts(_vectors(spark, d))
 
 
+def _edited(spark, d):
+    """Vectors with an edit drawn by the first digits of their hash, and what it makes of them."""
+    v = _vectors(spark, d).withColumn("seed", F.conv(F.substring("hash", 1, 6), 16, 10).cast("long"))
+    v = v.withColumn("edit", s.drawn_edit(F.col("vector"), F.col("seed")))
+    return v.withColumn("mutant", s.applied(F.col("vector"), F.col("edit")))
+
+
+def java_edits_apply(spark, d):
+    return _edited(spark, d).select("hash", "edit.code", F.col("edit.index").cast("long").alias("index"), F.col("edit.token").cast("long").alias("token"), "edit.original", F.array_join(F.col("mutant").cast("array<string>"), " ").alias("mutant"))
+
+
+def java_token_distance(spark, d):
+    return _edited(spark, d).select("hash", s.distance(F.col("vector"), F.col("mutant")).cast("long").alias("levenshtein"))
+
+
+def java_determine_fix(spark, d):
+    fixed = s.with_single_fix(_edited(spark, d), "vector", "mutant")
+    return fixed.select("hash", F.inline(F.array_compact(F.array("fix")))).select("hash", "code", "index", "token", "original")
+
+
+def java_batch_topk(spark, d):
+    rows = _vectors(spark, d).select("hash", F.posexplode("vector").alias("pos", "v")).groupBy("hash", F.floor(F.col("pos") / 64).alias("batch"), "v").agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("hash", "batch").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "v"))).alias("r"))
+    return best.select("hash", "batch", F.posexplode(F.slice("r", 1, 5)).alias("k", "x")).select("hash", "batch", (F.col("k") + 1).cast("long").alias("rank"), F.col("x.v").alias("target"), (-F.col("x.m")).alias("n"))
+
+
 def _lengths(spark, d, name):
     lexed = c.lexed_vectors(_of_language(spark, d, name), name)
     return lexed.select("hash", F.size("vector").alias("n_tokens"), F.size(F.array_distinct("lines")).alias("n_lines"), F.size(F.filter("vector", lambda x: x == 0)).alias("n_unknown"))
@@ -73,7 +99,7 @@ def java_fixes(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (java_vectors, java_entries, java_contexts_forward, java_contexts_backward, java_neighbours, python_vector_lengths, javascript_vector_lengths, java_fixes)
+    for f in (java_vectors, java_entries, java_contexts_forward, java_contexts_backward, java_neighbours, java_edits_apply, java_token_distance, java_determine_fix, java_batch_topk, python_vector_lengths, javascript_vector_lengths, java_fixes)
 }
 
 _PATTERN = c.JAVA_PATTERN.replace("'", "''")
@@ -89,6 +115,17 @@ _VECTOR = f"(SELECT hash, list_transform(w, lambda t: CAST(coalesce(list_positio
 _JOIN = "array_to_string(list_transform({}, lambda x: CAST(x AS VARCHAR)), ' ')"
 
 
+_V, _F0 = s.SIZE, s.FIRST
+_DRAWN = f"""(
+  SELECT *, CASE code WHEN 'i' THEN (seed * 31) % {_V - _F0} + {_F0} WHEN 's' THEN CASE WHEN original < {_F0} THEN step WHEN step >= original THEN step + 1 ELSE step END END AS token
+  FROM (SELECT *, CASE WHEN code <> 'i' THEN v[idx + 1] END AS original, (seed * 31) % {_V - _F0 - 1} + {_F0} AS step
+    FROM (SELECT *, CASE WHEN code = 'i' THEN draw % (len(v) + 1) ELSE draw % greatest(len(v), 1) END AS idx
+      FROM (SELECT *, CASE WHEN seed % 3 = 0 OR len(v) = 0 THEN 'i' WHEN seed % 3 = 1 THEN 'x' ELSE 's' END AS code, (seed * 7919 + 13) % 1000003 AS draw
+        FROM (SELECT hash, v, CAST('0x' || hash[1:6] AS BIGINT) AS seed FROM {_VECTOR})))))"""
+_MUTANT = f"""(SELECT *, CASE code WHEN 'i' THEN v[1:idx] || [CAST(token AS INTEGER)] || v[idx + 1:] WHEN 'x' THEN v[1:idx] || v[idx + 2:]
+  ELSE v[1:idx] || [CAST(token AS INTEGER)] || v[idx + 2:] END AS w FROM {_DRAWN})"""
+
+
 def _context(part: str) -> str:
     return f"SELECT hash, i AS pos, {_JOIN.format(part)} AS context, v[i + 1] AS target FROM (SELECT hash, v, unnest(range(len(v))) AS i FROM {_VECTOR})"
 
@@ -98,5 +135,15 @@ ORACLES = {
     "java_entries": f"SELECT coalesce({_ENTRY}, '<UNK>') AS entry, count(*) AS n FROM (SELECT unnest(w) AS t FROM {_TEXTS}) GROUP BY 1",
     "java_contexts_forward": _context("(list_transform(range(5), lambda x: 1) || v)[i + 1:i + 5]"),
     "java_contexts_backward": _context("(v || list_transform(range(5), lambda x: 2))[i + 2:i + 6]"),
+    "java_edits_apply": f"SELECT hash, code, idx AS index, token, original, {_JOIN.format('w')} AS mutant FROM {_MUTANT}",
+    "java_token_distance": f"""SELECT hash, levenshtein(array_to_string(list_transform(v, lambda x: chr(x + 1)), ''), array_to_string(list_transform(w, lambda x: chr(x + 1)), '')) AS levenshtein
+        FROM {_MUTANT}""",
+    "java_determine_fix": f"""
+        WITH m AS (SELECT *, list_position(list_transform(range(1, least(len(v), len(w)) + 1), lambda i: v[i] <> w[i]), true) AS p FROM {_MUTANT}),
+        a AS (SELECT *, CASE WHEN coalesce(p, 0) > 0 THEN p - 1 ELSE least(len(v), len(w)) END AS loc FROM m)
+        SELECT hash, code, CAST(loc AS INTEGER) AS index, CASE WHEN code <> 'x' THEN w[loc + 1] END AS token, CASE WHEN code <> 'i' THEN v[loc + 1] END AS original FROM a""",
+    "java_batch_topk": f"""
+        SELECT hash, batch, rank, target, n FROM (SELECT hash, batch, x AS target, n, row_number() OVER (PARTITION BY hash, batch ORDER BY n DESC, x) AS rank
+          FROM (SELECT hash, i // 64 AS batch, v[i + 1] AS x, count(*) AS n FROM (SELECT hash, v, unnest(range(len(v))) AS i FROM {_VECTOR}) GROUP BY ALL)) WHERE rank <= 5""",
     "java_neighbours": f"SELECT x[i] AS previous, x[i + 1] AS next, count(*) AS n FROM (SELECT x, unnest(range(1, len(x))) AS i FROM (SELECT [1] || v || [2] AS x FROM {_VECTOR})) GROUP BY 1, 2",
 }

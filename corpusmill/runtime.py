@@ -44,9 +44,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="corpusmill-")
         atexit.register(shutil.rmtree, folder, True)
     context.setCheckpointDir(folder)
+    atexit.register(_remove, context, context.getCheckpointDir())
     return context.getCheckpointDir()
 
 
+def _remove(context, folder: str) -> None:
+    """Removes this session's own folder among the checkpoints, if the session still lives."""
+    try:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # stopped before: nothing can be reached any more
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared folder and drops its lineage; survives lost executors."""
     checkpoint_dir(df.sparkSession)
