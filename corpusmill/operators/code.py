@@ -167,7 +167,8 @@ def fixes(broken: DataFrame, counts: DataFrame, k: int = 3, first_only: bool = F
 
     ``broken``: hash, vector, lines. ``counts``: previous, next, n of valid files; it is bounded by the
     square of the vocabulary and read to the driver. Every candidate is written out and parsed. Files
-    with a character that is no token are only mended where the edit removes or replaces it.
+    with a character that is no token are only mended where the edit removes or replaces it; files that
+    parse have no fixes.
     """
     from corpusmill.parsers import java8
 
@@ -181,6 +182,8 @@ def fixes(broken: DataFrame, counts: DataFrame, k: int = 3, first_only: bool = F
             rows = []
             for key, vector, lines in zip(frame["hash"], frame["vector"], frame["lines"]):
                 vector, lines = list(map(int, vector)), list(map(int, lines))
+                if UNKNOWN not in vector and not java8.check(" ".join(texts[t] for t in vector).encode()):
+                    continue  # nothing to mend
                 for rank, step, code, i, token, original in single_fixes(vector, *model.judged(vector), k):
                     tried = edited(vector, code, i, token)
                     if UNKNOWN in tried or java8.check(" ".join(texts[t] for t in tried).encode()):

@@ -97,9 +97,20 @@ def java_fixes(spark, d):
     return c.fixes(broken, c.neighbour_counts(valid))
 
 
+def java_mutant_fixes(spark, d):
+    """Of each source spoilt by a drawn edit: the edits found that make it parse, in order, and whether one
+    gives the source's tokens back."""
+    e = _edited(spark, d).select("hash", "vector", "mutant")
+    broken = e.select("hash", F.col("mutant").alias("vector"), F.array_repeat(F.lit(1), F.size("mutant")).alias("lines"))
+    tried = c.fixes(broken, c.neighbour_counts(_vectors(spark, d)))
+    edit = F.struct("code", "index", "token", "original")
+    found = tried.join(e, "hash").withColumn("back", s.applied(F.col("mutant"), edit) == F.col("vector"))
+    return found.select("hash", "rank", "step", "code", "index", "token", "original", "back")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (java_vectors, java_entries, java_contexts_forward, java_contexts_backward, java_neighbours, java_edits_apply, java_token_distance, java_determine_fix, java_batch_topk, python_vector_lengths, javascript_vector_lengths, java_fixes)
+    for f in (java_vectors, java_entries, java_contexts_forward, java_contexts_backward, java_neighbours, java_edits_apply, java_token_distance, java_determine_fix, java_batch_topk, python_vector_lengths, javascript_vector_lengths, java_fixes, java_mutant_fixes)
 }
 
 _PATTERN = c.JAVA_PATTERN.replace("'", "''")
