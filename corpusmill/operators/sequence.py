@@ -222,10 +222,12 @@ def _different_ends(a: Column, b: Column) -> Column:
         rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(least, F.lit(1)) + 1)).cast("int"))
         return F.aggregate(rounds, start, step, lambda acc: acc["lo"])
 
-    def without(x: Column, y: Column, then) -> Column:
-        return let(cut(x, y), lambda n: let(F.struct(F.substring(x, n + 1, F.length(x) - n).alias("x"), F.substring(y, n + 1, F.length(y) - n).alias("y")), then))
+    def without(pair: Column) -> Column:
+        x, y = pair["x"], pair["y"]
+        return let(cut(x, y), lambda n: F.struct(F.substring(x, n + 1, F.length(x) - n).alias("x"), F.substring(y, n + 1, F.length(y) - n).alias("y")))
 
-    return without(a, b, lambda s: without(F.reverse(s["x"]), F.reverse(s["y"]), lambda t: t))
+    backwards = lambda s: F.struct(F.reverse(s["x"]).alias("x"), F.reverse(s["y"]).alias("y"))
+    return let(let(let(F.struct(a.alias("x"), b.alias("y")), without), backwards), without)
 
 
 def string_distance(a: Column, b: Column, bands: tuple[int, ...] = (32, 1024)) -> Column:

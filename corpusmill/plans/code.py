@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import code as c
 from corpusmill.operators import languages
 from corpusmill.operators import sequence as s
-from corpusmill.runtime import beside
+from corpusmill.runtime import beside, spread
 from corpusmill.sources.tables import read
 
 
@@ -15,7 +15,7 @@ def _of_language(spark, d, name):
     """Distinct sources that occur under a path of the language."""
     path = read(spark, d, "repository_source", "hash", "path")
     hashes = path.where(languages.language_of(F.col("path")) == name).select("hash").where("hash IS NOT NULL").distinct()
-    return beside(read(spark, d, "source_file"), hashes, "hash").distinct()
+    return beside(spread(read(spark, d, "source_file"), "hash"), hashes, "hash").distinct()
 
 
 def _vectors(spark, d):

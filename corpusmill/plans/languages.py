@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import languages
-from corpusmill.runtime import beside
+from corpusmill.runtime import beside, spread
 from corpusmill.sources.tables import read
 
 
@@ -13,7 +13,7 @@ def _sources(spark, d):
     """Sources with each language they occur under. Mappings are reduced before they meet the sources,
     which are not shuffled where the count of hashes allows it."""
     named = read(spark, d, "repository_source", "hash", "path").select("hash", languages.language_of(F.col("path")).alias("language")).where("hash IS NOT NULL AND language IS NOT NULL").distinct()
-    return beside(read(spark, d, "source_file"), named, "hash")
+    return beside(spread(read(spark, d, "source_file"), "hash"), named, "hash")
 
 
 def parse_sources(spark, d):

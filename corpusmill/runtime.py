@@ -67,3 +67,16 @@ def beside(big: DataFrame, few: DataFrame, on: str | list[str], how: str = "inne
     """Join of ``big`` with ``few``, which is broadcast only where a count proves that it has at most
     ``most`` rows; beyond that both are shuffled. ``few`` should be cheap to count."""
     return big.join(F.broadcast(few) if few.limit(most + 1).count() <= most else few, on, how)
+
+
+#: Bytes of input a core below which an input is dealt out before heavy work.
+SPREAD = 8_000_000
+
+
+def spread(df: DataFrame, by: str) -> DataFrame:
+    """``df`` dealt to all cores by a column where the input is small, since a small file is often one row
+    group and thus one task. The shuffle is bounded by SPREAD bytes a core; larger inputs, which have
+    row groups for all cores, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, by) if 0 < size < cores * SPREAD else df
