@@ -15,7 +15,7 @@ def _of_language(spark, d, name):
     """Distinct sources that occur under a path of the language."""
     path = read(spark, d, "repository_source", "hash", "path")
     hashes = path.where(languages.language_of(F.col("path")) == name).select("hash").where("hash IS NOT NULL").distinct()
-    return beside(spread(read(spark, d, "source_file"), "hash"), hashes, "hash").distinct()
+    return beside(spread(read(spark, d, "source_file"), "hash").dropDuplicates(["hash"]), hashes, "hash")
 
 
 def _vectors(spark, d):

@@ -13,11 +13,11 @@ def _sources(spark, d):
     """Sources with each language they occur under. Mappings are reduced before they meet the sources,
     which are not shuffled where the count of hashes allows it."""
     named = read(spark, d, "repository_source", "hash", "path").select("hash", languages.language_of(F.col("path")).alias("language")).where("hash IS NOT NULL AND language IS NOT NULL").distinct()
-    return beside(spread(read(spark, d, "source_file"), "hash"), named, "hash")
+    return beside(spread(read(spark, d, "source_file"), "hash").dropDuplicates(["hash"]), named, "hash")
 
 
 def parse_sources(spark, d):
-    return languages.parsed(_sources(spark, d)).distinct()
+    return languages.parsed(_sources(spark, d))
 
 
 def java_vocabulary(spark, d):
