@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import comments
-from corpusmill.runtime import beside, cut
+from corpusmill.runtime import beside, cut, spread
 from corpusmill.sources.tables import owner_key
 
 _V = r"[\s,-]*(?:version|v)?\.?\s*"
@@ -142,7 +142,7 @@ def statements(source_file: DataFrame) -> DataFrame:
             yield pd.DataFrame({"hash": frame["hash"], **{kind: [read(t) for t in texts] for kind, read in STATEMENTS.items()}})
 
     schema = ", ".join(["hash string", *(f"{kind} array<string>" for kind in STATEMENTS)])
-    return cut(source_file.select("hash", "source").where("hash IS NOT NULL").mapInPandas(run, schema).dropDuplicates(["hash"]))
+    return cut(spread(source_file.select("hash", "source").where("hash IS NOT NULL"), "hash").mapInPandas(run, schema).dropDuplicates(["hash"]))
 
 
 def canonical(column: str | Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.parsers import java8, javascript, python3
-from corpusmill.runtime import beside
+from corpusmill.runtime import beside, spread
 
 CHECKS = {"python": python3.check, "javascript": javascript.check, "java": java8.check}
 VERDICT = "hash string, language string, errors array<struct<line:int,message:string>>"
@@ -50,7 +50,7 @@ def broken_sources(files: DataFrame, source_file: DataFrame) -> DataFrame:
     rows of either table count once.
     """
     wanted = files.where("hash IS NOT NULL").groupBy("hash").agg(F.array_sort(F.collect_set("language")).alias("languages"))
-    parsed = beside(source_file.select("hash", "source"), wanted, "hash").mapInPandas(_parse, VERDICT)
+    parsed = beside(spread(source_file.select("hash", "source"), "hash"), wanted, "hash").mapInPandas(_parse, VERDICT)
     return parsed.dropDuplicates(["hash", "language"])
 
 
