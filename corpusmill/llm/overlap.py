@@ -183,7 +183,8 @@ def overlaps(source_file: DataFrame, sets: DataFrame, threshold: float = 0.5, sp
 
 def edits(found: DataFrame, source_file: DataFrame, band: int = 64) -> DataFrame:
     """``found`` with the token edits between the two sources, of every pair; ``band`` is the first to
-    be tried."""
+    be tried. ``found`` is kept in the shared folder, as it is read three times."""
+    found = cut(found)
     wanted = found.select(F.col("hash_a").alias("hash")).unionByName(found.select(F.col("hash_b").alias("hash"))).distinct()
     texts = _beside(source_file.select("hash", "source"), wanted, "hash").dropDuplicates(["hash"])
     pairs = found.join(texts.select(F.col("hash").alias("hash_a"), F.col("source").alias("_a")), "hash_a").join(texts.select(F.col("hash").alias("hash_b"), F.col("source").alias("_b")), "hash_b")
