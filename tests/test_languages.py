@@ -20,6 +20,13 @@ def test_python():
     assert [lang.python_entry(t) for t in lang.python_tokens("if a: return 1") if t.name != "ENCODING" and t.name != "ENDMARKER"] == ["if", "<IDENTIFIER>", ":", "return", "<NUMBER>"]
 
 
+def test_python_with_a_null_byte_ends_at_its_line():
+    for source in (b"if a:\n    b = 1\n    c\0 = 2\nd\n", b"if a:\n    b = 1\n\0c\n", b"if a:\n    b = 1\n\0"):
+        tokens = lang.python_tokens(source)
+        assert [t.name for t in tokens] == ["ENCODING", "NAME", "NAME", "OP", "NEWLINE", "INDENT", "NAME", "OP", "NUMBER", "NEWLINE", "ERRORTOKEN"] and tokens[-1].line == 3
+        assert lang.language("python").summarise(source) == (2, 9)
+
+
 def test_java():
     good = "package a;\nclass A {\n int \\u0061 = 0x1F; }\n"
     assert lang.language("java").summarise(good.encode()) == (3, 12)
