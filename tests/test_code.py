@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import code as c
 from corpusmill.operators import languages
 from corpusmill.parsers import java8, javascript, python3
+from corpusmill.plans import queries
 
 GOOD = b"""package a.b;
 /* A stack. */
@@ -37,6 +38,17 @@ def test_vectors_of_every_language(spark, name, source, n):
         c.vocabulary("cobol")
 
 
+def test_lengths_of_python_sources_that_no_lexer_reads_to_the_end(spark, tmp_path):
+    sources = {
+        "good": b"a = 1\nb = 2\n", "null": b"if a:\n    b = 1\n    c\0 = 2\n", "undefined": b"# coding: undefined\na = 1\n", "idna": b"# coding: idna\na = 1\n",
+        "utf7": b"# coding: utf-7\na = 1\nb = '+2Nw-'\n", "utf8": b"a = '\xff'\n", "unknown": b"# coding: x\na = 1\n", "empty": b"",
+    }
+    spark.createDataFrame([(k, bytearray(v)) for k, v in sources.items()], "hash string, source binary").write.parquet(str(tmp_path / "source_file.parquet"))
+    spark.createDataFrame([(k, k + ".py") for k in sources], "hash string, path string").write.parquet(str(tmp_path / "repository_source.parquet"))
+    rows = {r.hash: (r.n_tokens, r.n_lines, r.n_unknown) for r in queries.queries()["python_vector_lengths"](spark, str(tmp_path)).collect()}
+    assert rows == {"good": (8, 2, 0), "null": (9, 2, 0), "undefined": (0, 0, 0), "idna": (0, 0, 0), "utf7": (4, 1, 0), "utf8": (0, 0, 0), "unknown": (0, 0, 0), "empty": (0, 0, 0)}
+
+
 def test_long_tokens_do_not_nest(spark):
     source = b'class A { String s = "' + b"x" * 200_000 + b'"; /* ' + b"y " * 100_000 + b" */ }"
     assert len(c.java_vectors(spark.createDataFrame([("h", source)], "hash string, source binary")).first().vector) == 9
