@@ -21,8 +21,7 @@ def parse_sources(spark, d):
 
 
 def java_vocabulary(spark, d):
-    tokens = languages.tokenised(_sources(spark, d).where("language = 'java'"), "java")
-    return tokens.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    return languages.entry_counts(_sources(spark, d).where("language = 'java'"), "java")
 
 
 def javascript_vocabulary(spark, d):

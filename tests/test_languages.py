@@ -1,12 +1,16 @@
 import json
+import tracemalloc
 import zipfile
+from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import evaluation as e
 from corpusmill.operators import languages as lang
 from corpusmill.operators import queue as q
+from corpusmill.plans import queries
 from corpusmill.sources import files
 from corpusmill.sources.tables import SCHEMAS, read_or_empty
 
@@ -94,6 +98,32 @@ def test_parsed_in_one_pass(spark):
     assert [(t.value, t.entry, t.line, t.column) for t in tokens] == [("x", "<IDENTIFIER>", 1, 0)]
 
 
+def test_a_worker_holds_the_tokens_of_few_sources(monkeypatch):
+    frame = pd.DataFrame({"hash": [str(i) for i in range(400)], "source": [b"class A { int a = 1; } #" * 20] * 400})
+    monkeypatch.setattr(lang, "AT_ONCE", 1000)
+    frames = list(lang._token_frames(iter([frame]), "java"))
+    assert sum(map(len, frames)) == 400 * 200 and max(map(len, frames)) <= 1000 + 200
+    assert list(pd.concat(frames).groupby("hash", sort=False)["pos"].agg(list)) == [list(range(200))] * 400
+    tracemalloc.start()
+    counted = list(lang._entry_frames(iter([frame]), "java"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000 and [dict(zip(f["entry"], f["n"])) for f in counted] == [pd.concat(frames)["entry"].value_counts().to_dict()]
+
+
+@pytest.mark.parametrize("name", ["java"])
+def test_vocabularies_count_every_token(spark, tmp_path, name):
+    sources = {"a": b"class A { int a = 1; } #", "b": b"a = 'b' + 2;", "e": b"", "n": None, "o": b"other"}
+    ending = {"java": ".java", "javascript": ".js"}[name]
+    spark.createDataFrame([(k, v and bytearray(v)) for k, v in sources.items()], "hash string, source binary").write.parquet(str(tmp_path / "source_file.parquet"))
+    spark.createDataFrame([(k, k + (".py" if k == "o" else ending)) for k in sources] + [("a", "copy" + ending)], "hash string, path string").write.parquet(str(tmp_path / "repository_source.parquet"))
+    query = queries.queries()[f"{name}_vocabulary"](spark, str(tmp_path))
+    language = lang.language(name)
+    tokens = [t for k in "ab" for t in language.tokenise(sources[k])]
+    assert {r.entry: r.n for r in query.collect()} == Counter(language.entry(t) if t.name != "ERROR" else "<UNK>" for t in tokens)
+    assert query.dtypes == [("entry", "string"), ("n", "bigint")]
+
+
 def test_bytes_and_escapes(spark):
     df = spark.createDataFrame([([3, 255], "a\\u0041\\u{1F600}")], "v array<int>, t string")
     row = df.select(lang.from_bytes(lang.to_bytes("v")), lang.unescape_unicode("t")).first()
