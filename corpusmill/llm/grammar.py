@@ -125,9 +125,8 @@ def infer(sequences: list[np.ndarray], long: int = 8) -> dict[str, np.ndarray]:
     }
 
 
-def sampled(found: dict[str, np.ndarray], most: int) -> list[np.ndarray]:
-    """Of each sequence the ``most`` least hashes of its shareable rules: a sample of the rules, the same for
-    equal grammars, so that samples can be compared."""
+def shareable(found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All distinct shareable rules, as sequence and mixed hash, ordered by both."""
     of, rule = found["rule_of"], found["rule"] * _MIX
     rule ^= rule >> np.uint64(32)
     order = np.lexsort((rule, of))
@@ -135,6 +134,13 @@ def sampled(found: dict[str, np.ndarray], most: int) -> list[np.ndarray]:
     if len(of):
         new = np.append(True, (of[1:] != of[:-1]) | (rule[1:] != rule[:-1]))
         of, rule = of[new], rule[new]
+    return of, rule
+
+
+def sampled(found: dict[str, np.ndarray], most: int) -> list[np.ndarray]:
+    """Of each sequence the ``most`` least hashes of its shareable rules: a sample of the rules, the same for
+    equal grammars, so that samples can be compared. No query decides by it."""
+    of, rule = shareable(found)
     n = np.bincount(of, minlength=len(found["size"]))
     at = np.append(0, np.cumsum(n))
     return [rule[at[i] : min(at[i] + most, at[i + 1])] for i in range(len(n))]

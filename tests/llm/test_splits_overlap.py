@@ -454,6 +454,22 @@ def test_rules_shared_across_repositories_tell_libraries(spark):
     assert {k for k, v in got.items() if v == "vendored"} == {("u", "packages/thing/h.py"), ("v", "libs/thing/h.py")}
 
 
+@pytest.mark.parametrize("common,seed,shared", [(22, 7, False), (42, 2, True)])
+def test_all_long_rules_are_compared(spark, common, seed, shared):
+    """Of the eight rules with the least hashes half are shared in the first pair, a quarter in the second."""
+    from corpusmill.llm import grammar, windows
+
+    begin = _program(1000 + seed, common)
+    texts = [begin + _program(k + seed, 60 - common) for k in (2000, 3000)]
+    found = grammar.infer([np.array([windows._hashes[t] for t in provenance.code_tokens(x)], np.uint64) for x in texts])
+    rules = [set(found["rule"][found["rule_of"] == i].tolist()) for i in range(2)]
+    assert (len(rules[0] & rules[1]) / len(rules[0]) >= 0.5) == shared
+    source = [("a", texts[0].encode()), ("b", texts[1].encode()), ("a", texts[0].encode()), ("e", None)]
+    files = [("u", "one", "a", "packages/x/h.py"), ("v", "two", "b", "src/h.py"), ("v", None, "b", "h.py"), ("w", None, "a", "h.py"), ("u", "one", "e", "packages/x/e.py")]
+    got = provenance.judged_files(spark.createDataFrame(files, MAPPING), spark.createDataFrame(source, "hash string, source binary"))
+    assert {(r.owner, r.path) for r in got.where("reason = 'vendored'").collect()} == ({("u", "packages/x/h.py")} if shared else set())
+
+
 def test_a_notice_counts_where_the_grammar_shows_a_generator(spark):
     notice = "# Code generated by tool v2; do not edit.\n"
     table = "".join(f"    self.field_{i} = reader.read_value(stream, {i % 3})\n" for i in range(80))
