@@ -25,8 +25,7 @@ def java_vocabulary(spark, d):
 
 
 def javascript_vocabulary(spark, d):
-    tokens = languages.tokenised(_sources(spark, d).where("language = 'javascript'"), "javascript")
-    return tokens.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+    return languages.entry_counts(_sources(spark, d).where("language = 'javascript'"), "javascript")
 
 
 def recorded_verdicts(spark, d):

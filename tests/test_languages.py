@@ -111,7 +111,7 @@ def test_a_worker_holds_the_tokens_of_few_sources(monkeypatch):
     assert peak < 2_000_000 and [dict(zip(f["entry"], f["n"])) for f in counted] == [pd.concat(frames)["entry"].value_counts().to_dict()]
 
 
-@pytest.mark.parametrize("name", ["java"])
+@pytest.mark.parametrize("name", ["java", "javascript"])
 def test_vocabularies_count_every_token(spark, tmp_path, name):
     sources = {"a": b"class A { int a = 1; } #", "b": b"a = 'b' + 2;", "e": b"", "n": None, "o": b"other"}
     ending = {"java": ".java", "javascript": ".js"}[name]
